@@ -2,7 +2,8 @@
 
 Passages that repeat are often set inside longer lines, so paragraphs are cut by content: at line ends, and before each word whose hash
 (with the word before it) is the least of the REACH words on either side. The cuts inside a passage depend on the passage alone, so
-a copy of it anywhere yields the same paragraphs of REACH + 1 or more words, about 13 on average.
+a copy of it anywhere yields the same paragraphs of REACH + 1 or more words, about 13 on average. Text that repeats itself word for word
+has no such least word; there a cut follows every MAX_PARAGRAPH words.
 
 Each paragraph has a MinHash over its N-word shingles; bands() tunes number and width of bands to the target recall. Paragraphs with a
 common band key are joined through the smallest paragraph of the key, verified by exact Jaccard similarity, and clustered by components.
@@ -32,6 +33,7 @@ THRESHOLD = 0.8
 REACH = 6
 #: Words from which a paragraph takes part, and from which a repeated passage is reported.
 MIN_PARAGRAPH, MIN_WORDS = 6, 20
+MAX_PARAGRAPH = 48
 RECALL = 0.95
 FEW = 500_000
 
@@ -64,6 +66,10 @@ def cut(w: textscan.Words, newline: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         least[d:] &= ~same | (b[d:] < b[:-d])
         least[:-d] &= ~same | (b[:-d] < b[d:])
     start = np.flatnonzero(first[:n] | least | newline)
+    more = (np.diff(np.append(start, n)) - 1) // MAX_PARAGRAPH
+    if more.any():
+        nth = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+        start = np.repeat(start, more + 1) + nth * MAX_PARAGRAPH
     return start, np.searchsorted(start, bounds)
 
 
@@ -74,7 +80,6 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = textscan.Words(texts[a:b])
             if not len(w.hash):
                 continue
-            sizes = np.diff(w.bounds)
             newline = np.zeros(len(w.hash), dtype=bool)
             for i, raw in enumerate(w.raw):
                 lo, hi = w.bounds[i], w.bounds[i + 1]
@@ -102,7 +107,6 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                     p = slice(by_text[i], by_text[i + 1])
                     begin[p], end[p] = chars[begin[p]], chars[end[p]]
-            del sizes
             at = np.flatnonzero(use)
             who = pa.array(text_of[at] + a)
             cols = [batch.column(0).take(who), batch.column(1).take(who)]
