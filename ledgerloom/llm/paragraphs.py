@@ -35,7 +35,6 @@ REACH = 6
 MIN_PARAGRAPH, MIN_WORDS = 6, 20
 MAX_PARAGRAPH = 48
 RECALL = 0.95
-FEW = 500_000
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 16) -> tuple[int, int]:
@@ -156,24 +155,28 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     doc_id are one document. An empty table gives no rows.
     """
     units = materialize(paragraphs(docs))
-    nodes = units.select("node", "key", F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("k"))
-    shared = nodes.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("k", "low")
-    found = nodes.join(shared, "k").groupBy("node", "low").agg(F.min("key").alias("key"), F.max("key").alias("last"))
-    found = materialize(found)
-    near = found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    place = F.col("start").cast("long") * (1 << 31) + F.col("end")
+    keys = [F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)]
+    nodes = units.groupBy("node").agg(F.min("key").alias("p"), F.max("key").alias("q"), F.min_by(place, "key").alias("at"), *keys)
+    banded = nodes.select("node", "p", "q", "at", F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("k"))
+    shared = banded.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("k", "low")
+    close = banded.join(shared, "k").select("node", "low", "p", "q", "at")
+    equal = nodes.where("p <> q").select("node", F.col("node").alias("low"), "p", "q", "at")
+    found = materialize(close.union(equal))
+    near = found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    place = units.groupBy("node").agg(F.min(F.struct("key", "start", "end")).alias("at")).join(ends, "node")
-    place = place.select("node", "at.key", "at.start", "at.end")
+    place = found.groupBy("node").agg(F.min("p").alias("key"), F.min_by("at", "p").alias("at")).join(ends, "node")
+    place = place.select("node", "key", F.expr("int(at div 2147483648)").alias("start"), F.expr("int(at % 2147483648)").alias("end"))
     texts = docs.select(text_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    snippet = texts.join(bounded_broadcast(materialize(place), FEW), "key")
+    snippet = texts.join(bounded_broadcast(materialize(place)), "key")
     snippet = snippet.select("node", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("t"))
     snippet = materialize(snippet.groupBy("node").agg(F.first("t").alias("t")))
     pairs = near.join(snippet.toDF("a", "ta"), "a").join(snippet.toDF("b", "tb"), "b")
     same = pairs.select("a", "b", "ta", "tb").mapInPandas(_jaccard(threshold), "a long, b long")
     group = connected_components(same)
-    every = found.groupBy("node").agg(F.min("key").alias("key"), F.max("last").alias("last")).join(group, "node", "left")
+    every = found.groupBy("node").agg(F.min("p").alias("p"), F.max("q").alias("q")).join(group, "node", "left")
     every = every.withColumn("root", F.coalesce("root", "node"))
-    spans = every.groupBy("root").agg(F.min("key").alias("p"), F.max("last").alias("q")).where("p <> q").select("root")
+    spans = every.groupBy("root").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p <> q").select("root")
     cluster = materialize(every.join(spans, "root").select("node", "root"))
     rows = units.select("doc_id", "key", "number", "start", "end", "n_words", "node").join(cluster, "node").drop("node")
     rows = materialize(rows)
