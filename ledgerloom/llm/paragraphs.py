@@ -155,14 +155,15 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     doc_id are one document. An empty table gives no rows.
     """
     units = materialize(paragraphs(docs))
+    equal = units.groupBy("node").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p <> q")
+    equal = materialize(equal, free=True)
     place = F.col("start").cast("long") * (1 << 31) + F.col("end")
-    keys = [F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)]
-    nodes = units.groupBy("node").agg(F.min("key").alias("p"), F.max("key").alias("q"), F.min_by(place, "key").alias("at"), *keys)
-    banded = nodes.select("node", "p", "q", "at", F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("k"))
-    shared = banded.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("k", "low")
-    close = banded.join(shared, "k").select("node", "low", "p", "q", "at")
-    equal = nodes.where("p <> q").select("node", F.col("node").alias("low"), "p", "q", "at")
-    found = materialize(close.union(equal))
+    keys = F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("k")
+    shared = units.select("node", keys).groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = materialize(shared.where("low <> high").select("k", "low"), free=True)
+    close = units.select("node", "key", place.alias("at"), keys).join(bounded_broadcast(shared), "k").groupBy("node", "low")
+    close = close.agg(F.min("key").alias("p"), F.max("key").alias("q"), F.min_by("at", "key").alias("at"))
+    found = materialize(close, free=True)
     near = found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     place = found.groupBy("node").agg(F.min("p").alias("key"), F.min_by("at", "p").alias("at")).join(ends, "node")
@@ -174,12 +175,12 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     pairs = near.join(snippet.toDF("a", "ta"), "a").join(snippet.toDF("b", "tb"), "b")
     same = pairs.select("a", "b", "ta", "tb").mapInPandas(_jaccard(threshold), "a long, b long")
     group = connected_components(same)
-    every = found.groupBy("node").agg(F.min("p").alias("p"), F.max("q").alias("q")).join(group, "node", "left")
+    every = found.select("node", "p", "q").union(equal).groupBy("node").agg(F.min("p").alias("p"), F.max("q").alias("q")).join(group, "node", "left")
     every = every.withColumn("root", F.coalesce("root", "node"))
     spans = every.groupBy("root").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p <> q").select("root")
     cluster = materialize(every.join(spans, "root").select("node", "root"))
     rows = units.select("doc_id", "key", "number", "start", "end", "n_words", "node").join(cluster, "node").drop("node")
-    rows = materialize(rows)
+    rows = materialize(rows, free=True)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("number"))
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     rows = rows.join(first, "root").withColumn("removed", F.col("first") != order).withColumn("from", F.col("first.doc_id"))
