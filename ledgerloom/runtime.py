@@ -29,14 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    free: let the driver collect its garbage then, so that Spark deletes the shuffle files of plans that have ended; worth it
+    after large shuffles.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._ledgerloom_path = path
+    if free:
+        spark._jvm.System.gc()
     return back
 
 
