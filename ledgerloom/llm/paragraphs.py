@@ -2,7 +2,7 @@
 
 Passages that repeat are often set inside longer lines, so paragraphs are cut by content: at line ends, and before each word whose hash
 (with the word before it) is the least of the REACH words on either side. The cuts inside a passage depend on the passage alone, so
-a copy of it anywhere yields the same paragraphs of REACH + 1 or more words, about 13 on average. Text that repeats itself word for word
+a copy of it anywhere yields the same paragraphs of REACH + 1 or more words, about 17 on average. Text that repeats itself word for word
 has no such least word; there a cut follows every MAX_PARAGRAPH words.
 
 Each paragraph has a MinHash over its N-word shingles; bands() tunes number and width of bands to the target recall. Paragraphs with a
@@ -26,13 +26,13 @@ from pyspark.sql.window import Window
 
 from ledgerloom.llm import textscan
 from ledgerloom.llm.components import connected_components
-from ledgerloom.runtime import bounded_broadcast, materialize, prepare_python
+from ledgerloom.runtime import materialize, prepare_python
 
 N = 5
 THRESHOLD = 0.8
-REACH = 6
+REACH = 8
 #: Words from which a paragraph takes part, and from which a repeated passage is reported.
-MIN_PARAGRAPH, MIN_WORDS = 6, 20
+MIN_PARAGRAPH, MIN_WORDS = 6, 16
 MAX_PARAGRAPH = 48
 RECALL = 0.95
 
@@ -161,7 +161,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     keys = F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("k")
     shared = units.select("node", keys).groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = materialize(shared.where("low <> high").select("k", "low"), free=True)
-    close = units.select("node", "key", place.alias("at"), keys).join(bounded_broadcast(shared), "k").groupBy("node", "low")
+    close = units.select("node", "key", place.alias("at"), keys).join(shared, "k").groupBy("node", "low")
     close = close.agg(F.min("key").alias("p"), F.max("key").alias("q"), F.min_by("at", "key").alias("at"))
     found = materialize(close, free=True)
     near = found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
@@ -169,9 +169,9 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     place = found.groupBy("node").agg(F.min("p").alias("key"), F.min_by("at", "p").alias("at")).join(ends, "node")
     place = place.select("node", "key", F.expr("int(at div 2147483648)").alias("start"), F.expr("int(at % 2147483648)").alias("end"))
     texts = docs.select(text_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    snippet = texts.join(bounded_broadcast(materialize(place)), "key")
+    snippet = texts.join(place, "key")
     snippet = snippet.select("node", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("t"))
-    snippet = materialize(snippet.groupBy("node").agg(F.first("t").alias("t")))
+    snippet = materialize(snippet.groupBy("node").agg(F.first("t").alias("t")), free=True)
     pairs = near.join(snippet.toDF("a", "ta"), "a").join(snippet.toDF("b", "tb"), "b")
     same = pairs.select("a", "b", "ta", "tb").mapInPandas(_jaccard(threshold), "a long, b long")
     group = connected_components(same)
