@@ -27,7 +27,8 @@ def verdict(text: Column) -> Column:
     whole = F.lit(True)
     for key in REQUIRED:
         whole = whole & F.array_contains(F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")), key)
-    sure = F.least(F.greatest(x["confidence"].try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    number = x["confidence"].try_cast("double")
+    sure = F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
     listed = F.from_json(x["evidence"], "array<string>")
     evidence = F.when(x["evidence"].isNull(), F.array().cast("array<string>")).when(x["evidence"].startswith("["), listed).otherwise(F.array(x["evidence"]))
     out = F.struct(x["typology"].alias("typology"), sure.alias("confidence"), x["rationale"].alias("rationale"), evidence.alias("evidence"))

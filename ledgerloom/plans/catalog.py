@@ -242,7 +242,7 @@ def _ids(v: GraphView) -> DataFrame:
 query("split_stratified", "splits", "select id, label, split from splits")(lambda v: labels.split_stratified(_ids(v)))
 query("split_random", "comps", """select ccid as id, label, case when r < floor(n * 0.1) then 'val' when r < floor(n * 0.1) + floor(n * 0.1) then 'test' else 'train' end as split
   from (select *, row_number() over (order by md5('0:' || ccid), ccid) - 1 as r, count(*) over () as n from comps)""")(lambda v: labels.split_random(_ids(v)))
-query("split_round_robin", "comps", "select ccid as id, label, case when row_id % 10 < 8 then 'train' when row_id % 10 = 8 then 'val' else 'test' end as split from comps")(
+query("split_round_robin", "comps", "select ccid as id, label, case when (row_id + 1) % 10 <= 7 then 'train' when (row_id + 1) % 10 = 8 then 'val' else 'test' end as split from comps")(
     lambda v: labels.split_round_robin(_ids(v))
 )
 query("split_counts", "splits", """select split, count(*) as n, count(*) filter (label = 'suspicious') as n_positive, count(*) filter (label <> 'suspicious') as n_negative,
