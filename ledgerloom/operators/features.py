@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.operators.ranks import percentile_rank
+from ledgerloom.operators.ranks import percentile_ranks
 
 STATS = ("sum", "mean", "max", "std")
 SIDES = {"out": "src", "in": "dst"}
@@ -105,10 +105,8 @@ def throughput(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def path_role(channels: DataFrame) -> DataFrame:
     """channels (idx, in_degree, out_degree, size, throughput) with percentile ranks and endpoint_score, source_score and
     source_sink_axis."""
-    n = channels.count()
-    x = channels
-    for c in ("in_degree", "out_degree", "size", "throughput"):
-        x = percentile_rank(x, c, f"p_{c}", n)
+    names = ["in_degree", "out_degree", "size", "throughput"]
+    x = percentile_ranks(channels, names, channels.count())
     i, o, s, t = (F.col(f"p_{c}") for c in ("in_degree", "out_degree", "size", "throughput"))
     return x.select("idx", ((i + s + t) / 3).alias("endpoint_score"), ((o + s + t) / 3).alias("source_score"), (i - o).alias("source_sink_axis"))
 

@@ -46,6 +46,17 @@ def percentile_rank(df: DataFrame, column: str, out: str, total: int) -> DataFra
     return df.join(ranks, F.col(column).eqNullSafe(F.col("__v"))).withColumn(out, rank).drop("__v", "n", "before")
 
 
+def percentile_ranks(df: DataFrame, columns: list[str], total: int, key: str = "idx") -> DataFrame:
+    """key and p_{column} for several columns, as percentile_rank() of each, in one sort of all columns' values."""
+    long = df.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("x"))
+    long = long.select(key, "x.c", "x.v")
+    counts = _with_offsets(long.groupBy("c", "v").agg(F.count("*").alias("n")), ["c", "v"], "n", "before")
+    smaller = F.col("before") - F.col("c") * total  # each column has total rows
+    rank = (smaller + (F.col("n") - 1) / 2) / (total - 1) if total > 1 else F.lit(0.5)
+    x = long.join(counts.select("c", "v", rank.alias("p")), ["c", "v"])
+    return x.groupBy(key).agg(*(F.max(F.when(F.col("c") == i, F.col("p"))).alias(f"p_{c}") for i, c in enumerate(columns)))
+
+
 def cumulative_share(df: DataFrame, column: str, out: str, total: int) -> DataFrame:
     """df with `out`: the share of rows with a value of at most the row's."""
     ranks = value_ranks(df, column).withColumnRenamed(column, "__v")
