@@ -1,7 +1,8 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
 Every step is an aggregation with map-side combining and an equi-join, so a component of any size, and a node of
-any degree, is spread over tasks; nothing is collected. Each round's edges are written to the shared folder.
+any degree, is spread over tasks; nothing is collected. Each step's tables are written to the shared folder: a join of two written tables is one
+that adaptive execution can split where a key is hot.
 """
 
 from __future__ import annotations
@@ -43,13 +44,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = edge.union(edge.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.distinct())
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        discard(edge)
+        for x in (edge, low, large, least):
+            discard(x)
         edge = new
         if now == seen:
             break

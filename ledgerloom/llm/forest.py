@@ -245,7 +245,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     )
     links = candidate_links(nodes.select("node", "sig.labels", "sig.s0", "sig.s1"), threshold, recall)
     group = materialize(connected_components(links))
-    blocks = group.groupBy("root").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"))
+    blocks = materialize(group.groupBy("root").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks")))
     member = group.join(blocks, "root").join(nodes.select("node", "key", "copies"), "node")
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(text_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
@@ -257,10 +257,11 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     found = materialize(found)
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     ids = nodes.select("node", "rep_id")
-    least = joined.join(ids, "node").groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    joined = materialize(joined)
+    least = materialize(joined.join(ids, "node").groupBy("root").agg(F.min("rep_id").alias("class_id")))
     count = found.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("classes").alias("classes"))
     result = joined.join(least, "root").join(count, "node").select("node", "class_id", "docs", "classes")
-    whole = nodes.select("node", "rep_id", "copies").join(result, "node", "left")
+    whole = materialize(nodes.select("node", "rep_id", "copies").join(result, "node", "left"))
     out = seen.select("doc_id", F.when(F.col("node") != 0, F.col("node")).alias("node")).join(whole, "node", "left")
     copies = F.coalesce("copies", F.lit(1))
     return out.select(
