@@ -182,7 +182,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     rows = units.select("doc_id", "key", "number", "start", "end", "n_words", "node").join(cluster, "node").drop("node")
     rows = materialize(rows, free=True)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("number"))
-    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    first = materialize(rows.groupBy("root").agg(F.min(order).alias("first")))
     rows = rows.join(first, "root").withColumn("removed", F.col("first") != order).withColumn("from", F.col("first.doc_id"))
     rows = rows.dropDuplicates(["key", "number", "start"])
     doc = Window.partitionBy("key").orderBy("number")
