@@ -60,7 +60,7 @@ def similar_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     texts: lh, pos and norm of lines, with repeats."""
     long = lines.where(F.col("nw") >= MIN_WORDS)
     keys = long.select("lh", "pos", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
-    shared = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    shared = materialize(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
     may = materialize(keys.join(shared, "k").groupBy("lh").agg(F.min("pos").alias("pos")))
     held = texts.join(bounded_broadcast(may, FEW), ["lh", "pos"])
     text = materialize(held.groupBy("lh", "pos").agg(F.first("norm").alias("norm")))
@@ -78,12 +78,12 @@ def similar_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     variants = materialize(own.union(deleted))
     some = variants.where("i >= 0")
     first = F.min(F.struct("pos", "lh"))
-    swap = some.groupBy("v", "i").agg(first.alias("to"), F.count("*").alias("c")).where("c > 1")
+    swap = materialize(some.groupBy("v", "i").agg(first.alias("to"), F.count("*").alias("c")).where("c > 1"))
     swapped = some.join(swap, ["v", "i"]).where(F.col("pos") > F.col("to.pos")).select("lh", F.col("to.lh").alias("to"))
     both = variants.groupBy("v").agg(
         F.min(F.when(F.col("i") < 0, F.struct("pos", "lh"))).alias("own"), F.min(F.when(F.col("i") >= 0, F.struct("pos", "lh"))).alias("cut")
     )
-    both = both.where("own is not null and cut is not null")
+    both = materialize(both.where("own is not null and cut is not null"))
     longer = some.join(both, "v").where(F.col("pos") > F.col("own.pos")).select("lh", F.col("own.lh").alias("to"))
     shorter = both.where(F.col("own.pos") > F.col("cut.pos")).select(F.col("own.lh").alias("lh"), F.col("cut.lh").alias("to"))
     link = swapped.union(longer).union(shorter).distinct()
