@@ -129,13 +129,12 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         )
     )
     groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("bytes")))
-    to = assign_groups(groups, shards)
+    to = assign_groups(groups, shards).join(groups.withColumnRenamed("bytes", "group_bytes"), "item")
+    to = materialize(to)
     n = rows.count()
     buckets = max(1, -(-n // (shards * SLOTS)))
     bucket = F.pmod(F.xxhash64("doc_id", "item"), F.lit(buckets))
-    placed = materialize(
-        rows.join(to, "item").join(groups.withColumnRenamed("bytes", "group_bytes"), "item").withColumn("bucket", bucket)
-    )
+    placed = materialize(rows.join(to, "item").withColumn("bucket", bucket))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = (
         placed.groupBy("shard", "bucket")
