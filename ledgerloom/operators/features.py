@@ -16,6 +16,8 @@ from ledgerloom.operators.ranks import percentile_ranks
 
 STATS = ("sum", "mean", "max", "std")
 SIDES = {"out": "src", "in": "dst"}
+#: Into how many slices of time a node's events are split.
+SLICES = 64
 
 
 def _fill(nodes: DataFrame, found: DataFrame, empty: float, keep: Sequence[str] = ()) -> DataFrame:
@@ -58,16 +60,30 @@ def counterparty_flow(edges: DataFrame, side: str = "out") -> DataFrame:
     return edges.groupBy(F.col(a).alias("idx"), F.col(b).alias("other")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
 
 
+def _ranked_sums(flow: DataFrame) -> DataFrame:
+    """idx with s, q, m, rw, n: sum, sum of squares, maximum, sum of rank times w, and count of the node's w.
+
+    Rows are sorted in range partitions, so that a hub's counterparties are spread over many tasks; each part of a node then gives one
+    row, and its ranks are moved by the counts of the node's earlier parts.
+    """
+    order = ("idx", "w", "other")
+    rows = flow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    parts = rows.select("idx", "w", F.shiftright("at", 33).alias("part"), place.alias("place")).groupBy("idx", "part").agg(
+        F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"), F.max("w").alias("m"),
+        F.sum(F.col("place") * F.col("w")).alias("pw"), F.min("place").alias("first"), F.count("*").alias("n"),
+    )
+    earlier = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    rank = F.col("pw") + (F.col("before") + 1 - F.col("first")) * F.col("s")
+    return parts.groupBy("idx").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"), F.sum(rank).alias("rw"), F.sum("n").alias("n"))
+
+
 def flow_concentration(nodes: DataFrame, edges: DataFrame, empty: float = 0.0) -> DataFrame:
     """idx and {side}_gini, {side}_hhi, {side}_max_share of flow over counterparties; `empty` without flow."""
     x = nodes.select("idx")
     for side in SIDES:
-        flow = counterparty_flow(edges, side)
-        rank = F.row_number().over(Window.partitionBy("idx").orderBy("w", "other"))
-        g = flow.withColumn("r", rank).groupBy("idx").agg(
-            F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"), F.max("w").alias("m"),
-            F.sum(F.col("r") * F.col("w")).alias("rw"), F.count("*").alias("n"),
-        )
+        g = _ranked_sums(counterparty_flow(edges, side))
         gini = (2 * F.col("rw") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s"))
         some = F.col("s") > 0
         g = g.select(
@@ -85,13 +101,28 @@ def node_events(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("idx"), F.col("ts").cast("double").alias("ts"))
 
 
-def temporal(nodes: DataFrame, edges: DataFrame, empty: float = 0.0) -> DataFrame:
-    """idx, activity_span, burstiness: (std - mean) / (std + mean) of the gaps between a node's events."""
-    w = Window.partitionBy("idx").orderBy("ts")
-    gaps = node_events(edges).withColumn("gap", F.col("ts") - F.lag("ts").over(w))
-    g = gaps.groupBy("idx").agg(
-        (F.max("ts") - F.min("ts")).alias("activity_span"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("s")
-    )
+def temporal(nodes: DataFrame, edges: DataFrame, empty: float = 0.0, slices: int = SLICES) -> DataFrame:
+    """idx, activity_span, burstiness: (std - mean) / (std + mean) of the gaps between a node's events.
+
+    Equal times of a node are counted first, and gaps are taken within slices of the whole time span, so that a hub's events are spread
+    over tasks; the moments of a node's slices (at most slices + 1 rows) are then joined with the gaps between slices.
+    """
+    ends = F.broadcast(edges.agg(F.min(F.col("ts").cast("double")).alias("t0"), F.max(F.col("ts").cast("double")).alias("t1")))  # one row
+    times = node_events(edges).where("ts is not null").groupBy("idx", "ts").agg(F.count("*").alias("c"))
+    share = F.try_divide((F.col("ts") - F.col("t0")) * slices, F.col("t1") - F.col("t0"))
+    times = times.crossJoin(ends).select("idx", "ts", "c", F.when(F.col("ts") < F.col("t1"), F.floor(share)).otherwise(slices).alias("slice"))
+    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("idx", "slice").orderBy("ts"))
+    x = times.withColumn("gap", gap).groupBy("idx", "slice").agg(
+        F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.sum(F.col("c") - 1).alias("ties"),
+        F.count("gap").alias("n"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("gap"), F.lit(0.0)).alias("var"),
+    )
+    node = Window.partitionBy("idx")
+    x = x.withColumn("step", F.col("lo") - F.lag("hi").over(node.orderBy("slice")))
+    count = F.sum(F.col("n") + F.col("ties") + F.col("step").isNotNull().cast("int")).over(node)
+    x = x.withColumn("gaps", count).withColumn("m", F.try_divide(F.max("hi").over(node) - F.min("lo").over(node), F.col("gaps")))
+    square = lambda c: (c - F.col("m")) * (c - F.col("m"))
+    off = F.col("n") * (F.col("var") + square(F.col("mean"))) + F.col("ties") * square(F.lit(0.0)) + F.coalesce(square(F.col("step")), F.lit(0.0))
+    g = x.groupBy("idx").agg((F.max("hi") - F.min("lo")).alias("activity_span"), F.max("m").alias("m"), F.sqrt(F.try_divide(F.sum(off), F.max("gaps"))).alias("s"))
     burst = F.when(F.col("s") + F.col("m") > 0, (F.col("s") - F.col("m")) / (F.col("s") + F.col("m")))
     return _fill(nodes, g.select("idx", "activity_span", burst.alias("burstiness")), empty)
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,36 @@ def test_cluster_features_has_a_row_a_node(spark):
     ingest.assert_finite(x, [c for c in x.columns if c != "idx"])
     with pytest.raises(ingest.GuardError):
         ingest.assert_finite(x.withColumn("bad", F.lit(math.nan)), ["bad"])
+
+
+def test_a_hub_is_split_over_tasks(spark):
+    """A node with a third of all rows: counterparties and events in several partitions, the same values as by numpy."""
+    r = np.random.default_rng(3)
+    n = 900
+    src = np.where(np.arange(n) % 3 == 0, 0, r.integers(1, 40, n))
+    rows = [(int(a), int(b), float(w), float(t)) for a, b, w, t in zip(src, r.integers(1, 200, n), r.integers(1, 50, n), np.round(r.exponential(30, n), 1))]
+    edges, nodes = spark.createDataFrame(rows, "src long, dst long, weight double, ts double"), spark.range(201).toDF("idx")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        flow = {x["idx"]: x for x in features.flow_concentration(nodes, edges).collect()}
+        when = {x["idx"]: x for x in features.temporal(nodes, edges).collect()}
+        one = {x["idx"]: x for x in features.temporal(nodes, edges, slices=1).collect()}
+    finally:
+        spark.conf.unset(key)
+    for idx in range(201):
+        for side, a, b in (("out", 0, 1), ("in", 1, 0)):
+            to = {}
+            for x in rows:
+                if x[a] == idx:
+                    to[x[b]] = to.get(x[b], 0) + x[2]
+            w, k = np.sort(np.array(list(to.values()))), len(to)
+            gini = ((2 * np.arange(1, k + 1) - k - 1) * w).sum() / (k * w.sum()) if k else 0
+            assert flow[idx][f"{side}_gini"] == pytest.approx(gini, abs=1e-9)
+            assert flow[idx][f"{side}_max_share"] == pytest.approx(w.max() / w.sum() if k else 0)
+        t = np.sort([x[3] for x in rows for e in x[:2] if e == idx])
+        gap = np.diff(t)
+        burst = (gap.std() - gap.mean()) / (gap.std() + gap.mean()) if len(gap) and gap.std() + gap.mean() > 0 else 0
+        for got in (when[idx], one[idx]):
+            assert got["activity_span"] == pytest.approx(t[-1] - t[0] if len(t) else 0)
+            assert got["burstiness"] == pytest.approx(burst, abs=1e-6)
