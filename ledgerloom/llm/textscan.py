@@ -78,7 +78,8 @@ class Words:
     __slots__ = ("hash", "start", "end", "bounds", "raw")
 
     def __init__(self, texts: list[str | None]):
-        self.raw = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        # the one letter that lower() turns into two would shift what follows it
+        self.raw = [t.replace("\u0130", "i").lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         pieces = [(i, at, p) for i, b in enumerate(self.raw) for at, p in (_cut(b) if len(b) > PIECE else [(0, b)])]
         hs, ss, es = [], [], []
         count = np.zeros(len(texts) + 1, dtype=np.int64)
