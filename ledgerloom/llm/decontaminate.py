@@ -5,7 +5,8 @@ Normalised text: A-Z lower-cased, words joined by one space with a space at eith
 with words. A text is scanned once; match offsets become word numbers and, for hit documents, spans of the original.
 
 One automaton holds the whole benchmark up to BLOCK_BYTES of its text, which bounds what each worker keeps. A larger
-benchmark is split into blocks, each with one automaton and one scan, and the hits are merged.
+benchmark is split into blocks, each with one automaton and one scan whose hits are written before the next block is read; the
+hits are then merged.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -103,14 +105,15 @@ def _automaton(items: Items, window: int) -> Automaton:
 
 def _blocks(bench: DataFrame) -> Iterator[Items]:
     """The benchmark's rows in blocks; streamed, so that the driver holds one at a time."""
-    block, size = [], 0
+    block, size, some = [], 0, False
     for item, text in bench.selectExpr("coalesce(cast(item_id as string), '')", "text").toLocalIterator():
         block.append((item, text))
         size += len(text or "") + 50
         if size >= BLOCK_BYTES:
             yield sorted(block, key=str)
-            block, size = [], 0
-    yield sorted(block, key=str)
+            block, size, some = [], 0, True
+    if block or not some:
+        yield sorted(block, key=str)
 
 
 def _scan(docs: DataFrame, items: Items, window: int) -> DataFrame:
@@ -167,13 +170,15 @@ def scan_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW, keep
     prepare_python(docs.sparkSession)
     read = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.col("text"))
     read = read.select(*([F.struct(*(docs[c] for c in docs.columns)).alias("__row")] if keep else []), "__id", "__text")
-    blocks = list(_blocks(bench.select("item_id", "text")))
-    if len(blocks) == 1:
-        x = _scan(read, blocks[0], window)
+    blocks = _blocks(bench.select("item_id", "text"))
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        x = _scan(read, first, window)
     else:
         marked = read.withColumn("__mark", F.xxhash64("__text"))
         slim = marked.select("__id", "__mark", "__text")
-        found = reduce(DataFrame.union, (_scan(slim, b, window).where("size(hits) > 0").drop("__text", "n_words") for b in blocks))
+        hits = (_scan(slim, b, window).where("size(hits) > 0").drop("__text", "n_words") for b in chain((first, second), blocks))
+        found = reduce(DataFrame.union, map(materialize, hits))
         x = _scan(marked, [], window).drop("hits", "spans", "items")
         hit = materialize(_merge_blocks(found)).withColumnsRenamed({"__id": "__i", "__mark": "__m"})
         x = x.join(hit, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left")
