@@ -6,7 +6,8 @@ a copy of it anywhere yields the same paragraphs of REACH + 1 or more words, abo
 has no such least word; there a cut follows every MAX_PARAGRAPH words.
 
 Each paragraph has a MinHash over its N-word shingles; bands() tunes number and width of bands to the target recall. Paragraphs with a
-common band key are joined through the smallest paragraph of the key, verified by exact Jaccard similarity, and clustered by components.
+common band key are compared with the smallest paragraph of the key by exact Jaccard similarity; where some of a key's paragraphs aren't
+similar to it, all its paragraphs are joined with each other by similar_nodes(). Links are clustered by components.
 Clusters across documents keep their earliest paragraph; adjacent repeated paragraphs of a document make up a passage, and passages of MIN_WORDS
 words are reported.
 
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.llm import textscan
 from ledgerloom.llm.components import connected_components
-from ledgerloom.runtime import materialize, prepare_python
+from ledgerloom.runtime import discard, materialize, prepare_python
 
 N = 5
 THRESHOLD = 0.8
@@ -142,11 +143,59 @@ def _jaccard(threshold: float):
                 p, q = np.unique(x[bx[i] : bx[i + 1]]), np.unique(y[by[i] : by[i + 1]])
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
-            yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
+            yield pdf[["a", "b"]].assign(ok=np.array(ok, dtype=bool))
 
     return run
 
 
+def _shingle_sets(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in pdfs:
+        w = textscan.Words(pdf["t"].tolist())
+        x, bounds = textscan.shingles(w.hash, w.bounds, N)
+        sets = [np.unique(x[i:j]).view(np.int64) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pd.DataFrame({"node": pdf["node"], "x": sets})
+
+
+def _similar(x: str, y: str, threshold: float) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both >= threshold * (F.size(x) + F.size(y) - both) - 1e-9
+
+
+def similar_nodes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b: links that connect all similar nodes of texts (node, t), by an exact prefix join.
+
+    A node of s shingles and one of t share o = threshold * (s + t) / (1 + threshold) or more, so that the s - o + 1 rarest of the one and the
+    t - o + 1 rarest of the other have one in common. The nodes of a key (s, t, shingle) are compared with its smallest; those that aren't
+    similar to it are compared with all nodes of the key.
+    """
+    sets = materialize(texts.select("node", "t").mapInPandas(_shingle_sets, "node long, x array<long>"))
+    each = materialize(sets.select("node", F.explode("x").alias("h")), free=True)
+    count = materialize(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), free=True)
+    rare = each.join(count, "h", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("r"))
+    sizes = rare.withColumn("s", F.size("r"))
+    other = F.sequence(F.ceil(threshold * F.col("s") - 1e-9).cast("int"), F.floor(F.col("s") / threshold + 1e-9).cast("int"))
+    sizes = sizes.select("node", "r", "s", F.explode(other).alias("t"))
+    least = F.ceil(threshold / (1 + threshold) * (F.col("s") + F.col("t")) - 1e-9).cast("int")
+    keys = sizes.select("node", "s", "t", F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(1), F.col("s") - least + 1))).alias("e")).where("e.c > 1")
+    keys = keys.select("node", "s", "t", F.xxhash64(F.least("s", "t"), F.greatest("s", "t"), "e.h").alias("g"))
+    keys = materialize(keys, free=True)
+    for done in (each, count):
+        discard(done)
+    both = "min(node) <> max(node) and min(s) <= min(t) and max(s) >= max(t)"  # nodes of either size
+    low = keys.groupBy("g").agg(F.min("node").alias("low"), F.expr(both).alias("both")).where("both").select("g", "low")
+    low = materialize(low, free=True)
+    keys = materialize(keys.join(low, "g"), free=True)
+    star = materialize(keys.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), free=True)
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    linked = materialize(star.join(x, "a").join(y, "b").where(_similar("x", "y", threshold)).select("a", "b"))
+    left = keys.where("node <> low").join(linked.toDF("node", "low"), ["node", "low"], "left_anti")
+    left = materialize(left.select("g", "s", "t", F.col("node").alias("a")), free=True)
+    right = materialize(keys.where("node <> low").select("g", F.col("t").alias("s"), F.col("s").alias("t"), F.col("node").alias("b")), free=True)
+    pairs = left.join(right, ["g", "s", "t"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.distinct(), free=True)
+    return linked.union(pairs.join(x, "a").join(y, "b").where(_similar("x", "y", threshold)).select("a", "b"))
+
+
 def _close(units: DataFrame, band: str, place: Column) -> DataFrame:
     """node, low, p, q, at of the paragraphs whose band key other paragraphs have: low is the key's smallest node, p and q the node's
     smallest and largest document, at its place in p. Bands are joined one after another, so that one band's shuffles are on disk at a time."""
@@ -180,7 +229,12 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     snippet = snippet.select("node", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("t"))
     snippet = materialize(snippet.groupBy("node").agg(F.first("t").alias("t")), free=True)
     pairs = near.join(snippet.toDF("a", "ta"), "a").join(snippet.toDF("b", "tb"), "b")
-    same = pairs.select("a", "b", "ta", "tb").mapInPandas(_jaccard(threshold), "a long, b long")
+    tried = materialize(pairs.select("a", "b", "ta", "tb").mapInPandas(_jaccard(threshold), "a long, b long, ok boolean"), free=True)
+    mixed = tried.groupBy("b").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad")).where("n > 1 and bad > 0")
+    again = materialize(tried.join(materialize(mixed.select("b"), free=True), "b").select(F.col("a").alias("node")).distinct(), free=True)
+    same = tried.where("ok").select("a", "b")
+    if not again.isEmpty():
+        same = same.union(similar_nodes(snippet.join(again, "node"), threshold))
     group = connected_components(same)
     every = found.select("node", "p", "q").union(equal).groupBy("node").agg(F.min("p").alias("p"), F.max("q").alias("q")).join(group, "node", "left")
     every = every.withColumn("root", F.coalesce("root", "node"))

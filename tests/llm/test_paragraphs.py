@@ -1,9 +1,13 @@
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import paragraphs
+from ledgerloom.llm import paragraphs, textscan
+from ledgerloom.llm.components import connected_components, local_components
 
-from .helpers import documents, prose, small, words
+from .helpers import documents, jaccard, prose, shingles, small, words
 
 
 def found(spark, rows, **k):
@@ -85,3 +89,34 @@ def test_repeating_text_is_cut(spark):
 def test_bands_meet_recall(recall):
     b, r = paragraphs.bands(0.8, recall)
     assert 1 - (1 - 0.8**r) ** b >= recall
+
+
+def uncut(text):
+    w = textscan.Words([text])
+    return len(paragraphs.cut(w, np.zeros(len(w.hash), dtype=bool))[0]) == 1
+
+
+def test_pairs_that_share_a_common_phrase(spark):
+    """All paragraphs hold the same 12 words, which most band keys are made of; each is similar to one other only."""
+    phrase, rows = prose(5000, 12), []
+    for seed in itertools.count():
+        a = prose(6000 + seed, 3) + " " + phrase + " " + prose(9000 + seed, 3)
+        b = a.replace(".", "") + " " + prose(12_000 + seed, 1)
+        if uncut(a) and uncut(b):
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+        if len(rows) == 120:
+            break
+    pairs = {r["first_doc_id"] // 2 for r in found(spark, rows) if r["removed"] and r["doc_id"] // 2 == r["first_doc_id"] // 2}
+    assert len(pairs) >= 54
+
+
+def test_similar_nodes_against_all_pairs(spark):
+    phrase, texts = prose(1, 9).split(), []
+    for i in range(60):
+        w = prose(100 + i, i % 4).split() + phrase + prose(200 + i, 2 + i % 29).split()
+        texts += [" ".join(w), " ".join([*w, "tail"]), " ".join(w[1:]), " ".join([*w[:-1], "other", "end"])]
+    sets = [shingles(t) for t in texts]
+    close = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(sets[a], sets[b]) >= 0.8]
+    want = local_components(*np.array(close).T)
+    got = connected_components(paragraphs.similar_nodes(spark.createDataFrame(list(enumerate(texts)), "node long, t string"))).collect()
+    assert {r["node"]: r["root"] for r in got} == dict(zip(*(x.tolist() for x in want), strict=True))
