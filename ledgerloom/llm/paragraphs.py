@@ -1,6 +1,7 @@
 """Substring dedup by paragraph MinHash banding.
 
-Passages that repeat are often set inside longer lines, so paragraphs are cut by content: at line ends, and before each word whose hash
+Passages that repeat are often set inside longer lines, so paragraphs are cut by content: at the ends of lines of MIN_PARAGRAPH words or more
+(shorter lines that follow each other are one text, like verse, lists or tables), and before each word whose hash
 (with the word before it) is the least of the REACH words on either side. The cuts inside a passage depend on the passage alone, so
 a copy of it anywhere yields the same paragraphs of REACH + 1 or more words, about 11 on average. Text that repeats itself word for word
 has no such least word; there a cut follows every MAX_PARAGRAPH words.
@@ -37,6 +38,8 @@ REACH = 5
 #: Words from which a paragraph takes part, and from which a repeated passage is reported.
 MIN_PARAGRAPH, MIN_WORDS = 6, 16
 MAX_PARAGRAPH = 48
+#: Lines of fewer words, and runs of short lines, aren't cut into pieces under MIN_PARAGRAPH words.
+LONG = 40
 RECALL = 0.95
 
 
@@ -67,7 +70,17 @@ def cut(w: textscan.Words, newline: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         same = text_of[d:] == text_of[:-d]
         least[d:] &= ~same | (b[d:] < b[:-d])
         least[:-d] &= ~same | (b[:-d] < b[d:])
-    start = np.flatnonzero(first[:n] | least | newline)
+    line = np.flatnonzero(first[:n] | newline)
+    long = np.diff(np.append(line, n)) >= MIN_PARAGRAPH
+    edge = first.copy()
+    edge[line[long]] = True
+    edge[line[1:][long[:-1]]] = True  # a run of shorter lines is one part
+    at = np.flatnonzero(edge[:n])
+    size = np.diff(np.append(at, n))
+    into = np.arange(n) - np.repeat(at, size)
+    part = np.repeat(size, size)
+    whole = (part < LONG) & (np.minimum(into, part - into) < MIN_PARAGRAPH)
+    start = np.flatnonzero(edge[:n] | (least & ~whole))
     more = (np.diff(np.append(start, n)) - 1) // MAX_PARAGRAPH
     if more.any():
         nth = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)

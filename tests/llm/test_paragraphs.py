@@ -120,3 +120,13 @@ def test_similar_nodes_against_all_pairs(spark):
     want = local_components(*np.array(close).T)
     got = connected_components(paragraphs.similar_nodes(spark.createDataFrame(list(enumerate(texts)), "node long, t string"))).collect()
     assert {r["node"]: r["root"] for r in got} == dict(zip(*(x.tolist() for x in want), strict=True))
+
+
+@pytest.mark.parametrize("per", [1, 3, 4, 5, 7, 8])
+def test_passages_in_short_lines(spark, per):
+    def lay(seed, n):
+        w = prose(seed, n).split()
+        return "\n".join(" ".join(w[i : i + per]) for i in range(0, n, per))
+
+    rows = [(i, "\n".join([lay(300 + i, 40), lay(800 + i // 2, 56), lay(600 + i, 40)])) for i in range(40)]
+    assert len({r["doc_id"] for r in found(spark, rows)}) >= 38
