@@ -1,11 +1,10 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 Every document is a set of N-word shingles. Its signature has TREES labels of DEPTH levels (a byte of one minimum each): the paths of
-a forest of prefix tries. Labels are sorted tree by tree, so that documents that share a prefix are neighbours, those that share the longest prefix first; matched
-prefixes are shortened from DEPTH levels to the depth at which a pair at the threshold is found with the target recall. A sketch of TREES x DEPTH bits drops
-neighbours that are clearly below the threshold.
+a forest of prefix tries. Prefixes are shortened from DEPTH levels to the depth at which a pair at the threshold is found with the target recall, and
+all documents that share a shortened prefix are compared by a sketch of TREES x DEPTH bits, which drops pairs that are clearly below the threshold.
 
-Neighbour links give groups of documents (connected components). All pairs of different texts within a group are then verified exactly, in blocks of
+The pairs that are left give groups of documents (connected components). All pairs of different texts within a group are then verified exactly, in blocks of
 BLOCK documents, so that links are counted in full without writing pairs. Classes are the components of the verified links.
 
 Documents of the same word sequence are one node throughout: copies are counted, never compared or paired.
@@ -30,8 +29,10 @@ N = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
 RECALL = 0.998
-#: Neighbours in label order, on either side, that are linked.
-REACH = 2
+#: Nodes of one prefix whose sketches are compared with each other in one task.
+SKETCH_BLOCK = 1024
+#: Linked pairs that a task holds at a time.
+PAIRS = 1 << 16
 BLOCK = 96
 _rng = np.random.default_rng(41)
 _MUL = (_rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -114,54 +115,71 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, node long, labels array<long>, s0 long, s1 long")
 
 
-def _neighbours(shift: int, agree: int):
-    """Links between neighbours of one sorted partition as (a, b, edge=true), then its first and last rows (edge=false)."""
+def _group_links(agree: int):
+    """Stars of the groups that the sketches link: all rows of equal (tree, prefix, bi, bj), of block bi against those of block bj."""
 
-    def links(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
-        for lag in range(1, REACH + 1):
-            same = (x["tree"][lag:] == x["tree"][:-lag]) & (x["label"][lag:] >> shift == x["label"][:-lag] >> shift)
-            same &= x["node"][lag:] != x["node"][:-lag]
-            bits = sum(np.bitwise_count((x[s][lag:] ^ x[s][:-lag]).view(np.uint64)).astype(np.int32) for s in ("s0", "s1"))
-            at = np.flatnonzero(same & (TREES * DEPTH - bits >= agree))
-            out_a.append(x["node"][at])
-            out_b.append(x["node"][at + lag])
-        return np.concatenate(out_a), np.concatenate(out_b)
+    def links(key: np.ndarray, side: np.ndarray, node: np.ndarray, sketch: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row pairs at growing distance, as long as a group reaches that far."""
+        end = np.searchsorted(key, key, side="right")
+        at = np.arange(len(key))
+        lag = 1
+        while len(at := at[at + lag < end[at]]):
+            i = at[(side[at] < 0) | (side[at] != side[at + lag])]
+            bits = sum(np.bitwise_count(s[i] ^ s[i + lag]).astype(np.int32) for s in sketch)
+            i = i[TREES * DEPTH - bits >= agree]
+            yield node[i], node[i + lag]
+            lag += 1
+
+    def joined(node: np.ndarray, root: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.concatenate([node, *(f[0] for f in found)]), np.concatenate([root, *(f[1] for f in found)])
+        return local_components(a, b) if len(a) else (a, b)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = first = None
+        keys = ["tree", "prefix", "bi", "bj"]
+
+        def stars(rows: pd.DataFrame) -> pd.DataFrame:
+            key = np.cumsum((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
+            side = np.where(rows["bi"] == rows["bj"], -1, rows["block"] == rows["bj"])
+            node = root = np.zeros(0, np.int64)
+            found, size = [], 0
+            for pair in links(key, side, rows["node"].to_numpy(), [rows[s].to_numpy().view(np.uint64) for s in ("s0", "s1")]):
+                found.append(pair)
+                size += len(pair[0])
+                if size > PAIRS:  # keep the stars, not the pairs of a dense group
+                    node, root = joined(node, root, found)
+                    found, size = [], 0
+            node, root = joined(node, root, found)
+            return pd.DataFrame({"a": node[node != root], "b": root[node != root]})
+
+        held: list[pd.DataFrame] = []
         for pdf in pdfs:
             if not len(pdf):
                 continue
-            whole = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            if first is None:
-                first = pdf.head(REACH)
-            a, b = links({c: whole[c].to_numpy() for c in whole.columns})
-            if len(a):
-                node, root = local_components(a, b)
-                far = node != root
-                yield pd.DataFrame({"tree": -1, "label": 0, "node": node[far], "other": root[far], "s0": 0, "s1": 0})
-            tail = whole.tail(REACH)
-        if first is not None:
-            ends = pd.concat([first, tail], ignore_index=True).drop_duplicates(["tree", "label", "node"])
-            yield ends.assign(other=0)[["tree", "label", "node", "other", "s0", "s1"]]
-
-    return links, run
+            last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield stars(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield stars(pd.concat(held, ignore_index=True))
+
+    return run
 
 
 def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """a, b: links between neighbours in the forest of nodes (node, labels, s0, s1), as stars of each partition's groups."""
-    spark = nodes.sparkSession
+    """a, b: links between nodes (node, labels, s0, s1) that share a shortened prefix and whose sketches agree, as stars of each task's groups.
+    All pairs of a group are compared, in blocks of SKETCH_BLOCK."""
     shift = 8 * (DEPTH - search_depth(threshold, recall))
-    links, run = _neighbours(shift, least_agreement(threshold))
-    rows = nodes.select(F.posexplode("labels").alias("tree", "label"), "node", "s0", "s1")
-    ordered = rows.repartitionByRange(F.col("tree"), F.col("label"), F.col("node")).sortWithinPartitions("tree", "label", "node")
-    out = materialize(ordered.mapInPandas(run, "tree int, label long, node long, other long, s0 long, s1 long"))
-    ends = out.where("tree >= 0").toPandas()  # 2 x REACH rows a partition
-    ends = ends.sort_values(["tree", "label", "node"]).drop_duplicates(["tree", "label", "node"])
-    a, b = links({c: ends[c].to_numpy() for c in ends.columns}) if len(ends) else (np.zeros(0, np.int64),) * 2
-    over = spark.createDataFrame(pd.DataFrame({"a": a, "b": b}), "a long, b long")
-    return out.where("tree < 0").select(F.col("node").alias("a"), F.col("other").alias("b")).union(over)
+    rows = nodes.select("node", "s0", "s1", F.posexplode("labels").alias("tree", "label"))
+    rows = materialize(rows.select("node", "s0", "s1", "tree", F.shiftright("label", shift).alias("prefix")))
+    sizes = rows.groupBy("tree", "prefix").agg(F.expr(f"int(ceil(count(*) / {SKETCH_BLOCK}))").alias("blocks"), F.count("*").alias("n"))
+    sizes = materialize(sizes.where("n > 1").drop("n"), free=True)
+    rows = rows.join(sizes, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tree", "prefix", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "s0", "s1")
+    rows = rows.repartition("tree", "prefix", "bi", "bj").sortWithinPartitions("tree", "prefix", "bi", "bj", "node")
+    return materialize(rows.mapInPandas(_group_links(least_agreement(threshold)), "a long, b long").distinct(), free=True)
 
 
 def _sets(texts: list[str]) -> list[np.ndarray]:

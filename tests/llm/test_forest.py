@@ -95,3 +95,14 @@ def test_components_of_chains(spark, n):
     assert len(root) == len(got)
     assert all(root[i] == 0 for i in range(n + 1)) and root[10_001] == 10_000 and all(root[20_000 + i] == 20_000 for i in range(50))
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_candidates_among_a_large_family(spark):
+    """One prefix in all trees, 2,500 sketches: each node's only near one is anywhere in node order."""
+    r = random.Random(3)
+    n = 1250
+    sketch = [(r.getrandbits(64) - 2**63, r.getrandbits(64) - 2**63) for _ in range(n)]
+    ids = r.sample(range(1, 10**6), 2 * n)
+    rows = [(ids[i], [7] * forest.TREES, *sketch[i % n]) for i in range(2 * n)]
+    links = forest.candidate_links(spark.createDataFrame(rows, "node long, labels array<long>, s0 long, s1 long")).collect()
+    assert {(x["b"], x["a"]) for x in links} == {tuple(sorted((ids[i], ids[i + n]))) for i in range(n)}
