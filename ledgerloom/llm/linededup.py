@@ -8,6 +8,9 @@ verified by exact word edit distance, and a line is removed if an earlier line l
 Variants are made only of lines that can have a partner: of two lines within one edit, the first or the last half of the
 shorter one's words are equal, so lines whose half keys occur once are left out beforehand. Variant keys are exclusive-or sums over words and
 places, so that a line of n words costs n steps, however long it is.
+
+Joins with the lines and texts are merge joins at every size: their small sides grow with the corpus, and what a small corpus writes to disk is then
+a measure for a large one.
 """
 
 from __future__ import annotations
@@ -16,12 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.runtime import bounded_broadcast, materialize
+from ledgerloom.runtime import discard, materialize
 
 #: Words from which a line may match another one that isn't equal to it.
 MIN_WORDS = 8
-#: Lines (16 bytes each) up to which candidate keys are broadcast.
-FEW = 500_000
 
 
 def _position(doc_id: str, line_no: str) -> Column:
@@ -60,10 +61,12 @@ def similar_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     texts: lh, pos and norm of lines, with repeats."""
     long = lines.where(F.col("nw") >= MIN_WORDS)
     keys = long.select("lh", "pos", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
-    shared = materialize(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
-    may = materialize(keys.join(shared, "k").groupBy("lh").agg(F.min("pos").alias("pos")))
-    held = texts.join(bounded_broadcast(may, FEW), ["lh", "pos"])
-    text = materialize(held.groupBy("lh", "pos").agg(F.first("norm").alias("norm")))
+    shared = materialize(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), free=True)
+    may = materialize(keys.join(shared, "k").groupBy("lh").agg(F.min("pos").alias("pos")), free=True)
+    discard(shared)
+    held = texts.where(F.size(F.split("norm", " ")) >= MIN_WORDS).join(may.hint("merge"), ["lh", "pos"])
+    text = materialize(held.groupBy("lh", "pos").agg(F.first("norm").alias("norm")), free=True)
+    discard(may)
     words = text.select("lh", "pos", F.posexplode(F.split("norm", " ")).alias("i", "w"))
     words = words.select("lh", "pos", "i", F.xxhash64("w", "i").alias("f"), F.xxhash64("w", F.col("i") - 1).alias("g"))
     whole, upto = Window.partitionBy("lh"), Window.partitionBy("lh").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,20 +78,26 @@ def similar_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     )
     own = x.where("i = 0").select("lh", "pos", F.lit(-1).alias("i"), F.xxhash64("n", "all").alias("v"))
     deleted = x.select("lh", "pos", "i", F.xxhash64(F.col("n") - 1, F.col("before").bitwiseXOR(F.col("after"))).alias("v"))
-    variants = materialize(own.union(deleted))
+    variants = materialize(own.union(deleted), free=True)
     some = variants.where("i >= 0")
     first = F.min(F.struct("pos", "lh"))
-    swap = materialize(some.groupBy("v", "i").agg(first.alias("to"), F.count("*").alias("c")).where("c > 1"))
+    swap = materialize(some.groupBy("v", "i").agg(first.alias("to"), F.count("*").alias("c")).where("c > 1"), free=True)
     swapped = some.join(swap, ["v", "i"]).where(F.col("pos") > F.col("to.pos")).select("lh", F.col("to.lh").alias("to"))
     both = variants.groupBy("v").agg(
         F.min(F.when(F.col("i") < 0, F.struct("pos", "lh"))).alias("own"), F.min(F.when(F.col("i") >= 0, F.struct("pos", "lh"))).alias("cut")
     )
-    both = materialize(both.where("own is not null and cut is not null"))
+    both = materialize(both.where("own is not null and cut is not null"), free=True)
     longer = some.join(both, "v").where(F.col("pos") > F.col("own.pos")).select("lh", F.col("own.lh").alias("to"))
     shorter = both.where(F.col("own.pos") > F.col("cut.pos")).select(F.col("own.lh").alias("lh"), F.col("cut.lh").alias("to"))
-    link = swapped.union(longer).union(shorter).distinct()
+    link = materialize(swapped.union(longer).union(shorter).distinct(), free=True)
+    for done in (variants, swap, both):
+        discard(done)
     a, b = (text.select(F.col("lh").alias(k), F.split("norm", " ").alias(f"w_{k}")) for k in ("lh", "to"))
-    return link.join(a, "lh").join(b, "to").where(within_one_edit(F.col("w_lh"), F.col("w_to"))).select("lh").distinct()
+    near = link.join(a, "lh").join(b, "to").where(within_one_edit(F.col("w_lh"), F.col("w_to"))).select("lh").distinct()
+    near = materialize(near, free=True)
+    for done in (text, link):
+        discard(done)
+    return near
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -108,16 +117,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = materialize(keyed)
     place = _position("doc_id", "line_no")
     distinct = keyed.groupBy("lh", "nw", "k0", "k1", "k2", "k3").agg(F.min(place).alias("pos"), F.count("*").alias("copies"))
-    distinct = materialize(distinct)
+    distinct = materialize(distinct, free=True)
     texts = lines.select(F.xxhash64("norm").alias("lh"), place.alias("pos"), "norm")
-    gone = materialize(similar_lines(distinct, texts)).withColumn("gone", F.lit(True))
-    known = distinct.select("lh", "pos", "copies").join(gone, "lh", "left").where("copies > 1 or gone")
-    out = keyed.select("doc_id", "line_no", "lh").join(materialize(known).select("lh", "pos", "gone"), "lh")
+    near = similar_lines(distinct, texts)
+    known = distinct.select("lh", "pos", "copies").join(near.withColumn("gone", F.lit(True)), "lh", "left").where("copies > 1 or gone")
+    known = materialize(known, free=True)
+    out = keyed.select("doc_id", "line_no", "lh").join(known.select("lh", "pos", "gone").hint("merge"), "lh")
     out = out.where(F.col("gone") | (place > F.col("pos")))
-    removed = out.groupBy("doc_id").agg(F.collect_set("line_no").alias("removed"))
+    removed = materialize(out.groupBy("doc_id").agg(F.collect_set("line_no").alias("removed")), free=True)
+    for done in (keyed, distinct, near, known):
+        discard(done)
     every = F.split("text", "\n")
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    x = x.join(removed, "doc_id", "left")
+    x = x.join(removed.hint("merge"), "doc_id", "left")
     kept = F.filter(every, lambda line, i: ~F.array_contains(F.col("removed"), i))
     return x.select(
         "doc_id",
