@@ -3,9 +3,10 @@
 The standard library's parser streams a page as events. Block tags cut it into lines; a line has its text, the number of
 tags seen since the last line and the elements that hold it. Elements that are never article text (menus, forms, scripts,
 adverts, comments and the like, by tag, role, class or id) are left out as the events come. The ratios of text to tags of the other lines are
-smoothed by a Gaussian and split by a threshold of their mean into content and other lines. The content region is
-the article or main element that holds most content characters, else the innermost container that holds nearly all of
-them: every line in it is kept, short ones too.
+smoothed by a Gaussian and split by a threshold of their mean into content and other lines. The content regions are all article elements
+with content lines, if these hold most content characters, else likewise all main elements, else the innermost container that holds most
+content and the containers beside it that are mostly content: every line in a region is kept, short ones too, and in the last case single content
+lines outside as well.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from ledgerloom.runtime import prepare_python
 SIGMA = 1.0
 #: Share of the mean smoothed ratio from which a line counts as content.
 THRESHOLD = 0.5
-#: Share of the content lines' characters that the region must hold.
-COVER = 0.9
-#: The share at which an article or main element is the region.
+#: Share of all content characters from which article (or main) elements, or a container, are the regions, and share of a further
+#: container's characters that must be content.
 MOST = 0.5
 
 INLINE = frozenset(
@@ -185,19 +185,32 @@ def main_text(html: str | None) -> str:
     ratio = smooth(size / np.maximum(1, [n for _, n, _ in lines]))
     content = ratio >= THRESHOLD * ratio.mean()
     held: dict[int, float] = {}
+    inside = {"article": 0.0, "main": 0.0}
     for (_, _, path), n, yes in zip(lines, size, content, strict=True):
         if yes:
             for _, e in path:
                 held[e] = held.get(e, 0) + n
-    need = COVER * size[content].sum()
-    region = max((e for e, n in held.items() if n >= need), default=None)  # elements are numbered as they open
-    named = {e: t for _, _, path in lines for t, e in path}
+            for name in inside.keys() & {t for t, _ in path}:
+                inside[name] += n
+    total = size[content].sum()
     for name in ("article", "main"):
-        most = [e for e in held if named[e] == name and held[e] >= MOST * size[content].sum()]
-        if most:
-            region = max(most)
-            break
-    return " ".join(t for t, _, path in lines if region is None or any(e == region for _, e in path))
+        if inside[name] >= MOST * total:
+            named = {e for _, _, path in lines for t, e in path if t == name}
+            regions = named & held.keys()
+            return " ".join(t for t, _, path in lines if any(e in regions for _, e in path))
+    region = max((e for e, n in held.items() if n >= MOST * total), default=None)  # elements are numbered as they open
+    if region is None:
+        return " ".join(t for t, _, _ in lines)
+    size_of: dict[int, float] = {}
+    around: set[int] = set()
+    for (_, _, path), n in zip(lines, size, strict=True):
+        for _, e in path:
+            size_of[e] = size_of.get(e, 0) + n
+        at = [e for _, e in path]
+        if region in at:
+            around.update(at[: at.index(region)])
+    regions = {e for e, n in held.items() if e == region or (e not in around and n >= MOST * size_of[e])}
+    return " ".join(t for (t, _, path), yes in zip(lines, content, strict=True) if yes or any(e in regions for _, e in path))
 
 
 def extract(pages: DataFrame) -> DataFrame:

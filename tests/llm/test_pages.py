@@ -47,6 +47,26 @@ def test_short_blocks_stay_and_boilerplate_goes():
     assert got.startswith("Title word") and got.count("end.") == 5 and "link" not in got
 
 
+def sentence(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n)) + "."
+
+
+def test_several_articles_stay():
+    a, b, c = sentence("a", 60), sentence("b", 40), sentence("c", 5)
+    menu = "".join(f"<li><a href='#'>link {i}</a></li>" for i in range(12))
+    page = f"<body><ul>{menu}</ul><article><h2>One</h2><p>{a}</p></article><article><h2>Two</h2><p>{b}</p><p>{c}</p></article><p><a href='#'>back</a></p></body>"
+    assert pages.main_text(page) == f"One {a} Two {b} {c}"
+    assert pages.main_text(page.replace("article>", "main>")) == f"One {a} Two {b} {c}"
+
+
+def test_lead_and_end_beside_the_body_stay():
+    lead, end, paragraphs = sentence("lead", 30), sentence("end", 30), [sentence(f"p{i}w", 80) for i in range(6)]
+    menu = "".join(f"<li><a href='#'>link {i}</a></li>" for i in range(12))
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<body><div><ul>{menu}</ul></div><div><p>{lead}</p></div><div>{body}</div><div><p>{end}</p></div></body>"
+    assert pages.main_text(page) == " ".join([lead, *paragraphs, end])
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "<p>" + "word " * 200_000 + "</p>", "x"), (None, "v", "<p>a</p>", "x")]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
