@@ -6,7 +6,8 @@ when the whole subtree is short. A leaf then takes whole epochs and, of the next
 order seeded by leaf epoch, whose tokens stay within its budget. All sums are integers, so results are exact.
 
 The order within an epoch is that of md5(seed:epoch:doc_id). The prefix is found without sorting a leaf: sums by the
-first BUCKET_HEX digits give the digit group in which the budget ends, and only that group's rows are sorted.
+first BUCKET_HEX digits give the digit group in which the budget ends, sums within it by the next digits a smaller group, and after ROUNDS
+rounds only the last group's rows are sorted. A leaf has at most 16 ** BUCKET_HEX sums in a round.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql.window import Window
 
 from ledgerloom.runtime import bounded_broadcast, materialize
 
-BUCKET_HEX = 3
+#: After three rounds a leaf of 10 ** 10 documents has about 600 left to sort.
+BUCKET_HEX, ROUNDS = 2, 3
 LEVELS = ("domain", "lang", "source")
 
 
@@ -31,13 +33,16 @@ def domain_of_source(source: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mix:
-    """Weights by name at each level (others: the default), the budget in thousandths of all tokens, and the seed."""
+    """Weights by name at each level (others: the default), the budget in thousandths of all tokens, and the seed.
+
+    budget_permille None: the largest budget at which no domain is short, so that the domains reach their target shares.
+    """
 
     domain: dict[str, int] = field(default_factory=lambda: {"dom0": 40, "dom1": 30, "dom2": 20, "dom3": 10})
     lang: dict[str, int] = field(default_factory=lambda: {"en": 50, "de": 20, "fr": 20, "es": 10})
     source: dict[str, int] = field(default_factory=dict)
     default: int = 5
-    budget_permille: int = 600
+    budget_permille: int | None = 600
     max_epochs: int = 3
     seed: int = 17
 
@@ -89,9 +94,12 @@ def _share(parents: DataFrame, children: DataFrame, over: list[str], name: str,
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """domain, lang, source, supply, budget for leaves (domain, lang, source, supply), one row each."""
     caps = leaves.withColumn("cap", F.col("supply") * mix.max_epochs)
-    budget = leaves.agg(
-        F.expr(f"coalesce(sum(supply), 0L) * {mix.budget_permille} div 1000").alias("budget")
-    )
+    if mix.budget_permille is None:
+        top = caps.groupBy(LEVELS[0]).agg(F.sum("cap").alias("cap")).withColumn("w", mix.weight(LEVELS[0]))
+        total = F.broadcast(top.agg(F.sum("w").alias("ws")))  # one row
+        budget = top.crossJoin(total).agg(F.expr("coalesce(min(cap * ws div w), 0L)").alias("budget"))
+    else:
+        budget = leaves.agg(F.expr(f"coalesce(sum(supply), 0L) * {mix.budget_permille} div 1000").alias("budget"))
     for depth, name in enumerate(LEVELS):
         below = caps.groupBy(*LEVELS[: depth + 1]).agg(F.sum("cap").alias("cap"))
         budget = _share(budget, below, list(LEVELS[:depth]), name, mix)
@@ -109,24 +117,27 @@ def plan(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
         .withColumn("epochs", F.expr("budget div supply"))
         .withColumn("rest", F.expr("budget % supply"))
     )
-    keyed = named.join(bounded_broadcast(budgets), list(LEVELS)).withColumn("key", order_key(mix))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
+    rows = named.join(bounded_broadcast(budgets), list(LEVELS)).withColumn("key", order_key(mix))
+    rows = rows.select(*LEVELS, "key", "n_tokens", "rest")
     run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = (
-        keyed.groupBy(*LEVELS, "bucket")
-        .agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-        .withColumn("upto", F.sum("n").over(run))
-    )
-    cut = materialize(
-        sums.where("upto > rest")
-        .groupBy(*LEVELS)
-        .agg(F.min("bucket").alias("bucket"), F.min_by(F.col("rest") - F.col("upto") + F.col("n"), "bucket").alias("left"))
-    )
-    end = keyed.join(bounded_broadcast(cut), [*LEVELS, "bucket"])
+    for digits in range(BUCKET_HEX, BUCKET_HEX * ROUNDS + 1, BUCKET_HEX):
+        rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+        sums = (
+            rows.groupBy(*LEVELS, "bucket")
+            .agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+            .withColumn("upto", F.sum("n").over(run))
+        )
+        cut = materialize(
+            sums.where("upto > rest")
+            .groupBy(*LEVELS)
+            .agg(F.min("bucket").alias("bucket"), F.min_by(F.col("rest") - F.col("upto") + F.col("n"), "bucket").alias("left"))
+        )
+        rows = rows.drop("rest").join(bounded_broadcast(cut), [*LEVELS, "bucket"])
+        rows = materialize(rows.select(*LEVELS, "key", "n_tokens", F.col("left").alias("rest")))
     peers = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     last = (
-        end.withColumn("upto", F.sum("n_tokens").over(peers))
-        .where(F.col("upto") <= F.col("left"))
+        rows.withColumn("upto", F.sum("n_tokens").over(peers))
+        .where(F.col("upto") <= F.col("rest"))
         .groupBy(*LEVELS)
         .agg(F.max("key").alias("key"))
     )
@@ -201,12 +212,16 @@ def oracle(mix: Mix | None = None) -> str:
       max(case when is_full then null else ws end) over ({by}) as ows from f{depth}),
   b{depth + 1} as (select {keys}, case when is_full then cap else orest * w // ows end as budget from g{depth}),"""
 
+    if mix.budget_permille is None:
+        root = f"select coalesce(min(cap * ws // w), 0) as budget from (select sum(supply) * {mix.max_epochs} as cap, {weight('domain')} as w, sum({weight('domain')}) over () as ws from leaves group by domain)"
+    else:
+        root = f"select sum(supply) * {mix.budget_permille} // 1000 as budget from leaves"
     return f"""with d as (select doc_id, coalesce(lang, '?') as lang, coalesce(source, '?') as source,
     len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) as n_tokens from documents),
   named as (select *, case when regexp_extract(source, '([0-9]{{1,9}})', 1) = '' then 'dom?'
     else 'dom' || (cast(regexp_extract(source, '([0-9]{{1,9}})', 1) as bigint) % 4) end as domain from d),
   leaves as (select domain, lang, source, sum(n_tokens) as supply from named group by all having sum(n_tokens) > 0),
-  b0 as (select sum(supply) * {mix.budget_permille} // 1000 as budget from leaves),{share(0)}{share(1)}{share(2)}
+  b0 as ({root}),{share(0)}{share(1)}{share(2)}
   leaf as (select *, budget // supply as epochs, budget % supply as rest from b3 join leaves using (domain, lang, source)),
   k as (select named.*, budget, epochs, rest, md5('{mix.seed}:' || epochs || ':' || doc_id) as key
     from named left join leaf using (domain, lang, source)),
