@@ -11,8 +11,8 @@ from ledgerloom.llm import decontaminate, forest, langid, mixing, sharding
 from ledgerloom.llm.queries import table
 from ledgerloom.runtime import materialize
 
-#: The mixture takes a document once at most, so that the corpus stays free of copies.
-MIX = mixing.Mix(max_epochs=1, budget_permille=900)
+#: The mixture takes a document once at most, so that the corpus stays free of copies, and as many tokens as the domains' target shares allow.
+MIX = mixing.Mix(max_epochs=1, budget_permille=None)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,20 @@ from .helpers import documents, duck, prose, same_rows, small
 
 
 def test_small_table_in_sql(spark):
-    for mix in (mixing.Mix(), mixing.Mix(max_epochs=1, budget_permille=900), mixing.Mix(budget_permille=2500, max_epochs=4, seed=3)):
+    whole = mixing.Mix(max_epochs=1, budget_permille=None)
+    for mix in (mixing.Mix(), whole, mixing.Mix(max_epochs=1, budget_permille=900), mixing.Mix(budget_permille=2500, max_epochs=4, seed=3)):
         same_rows(mixing.mix_documents(small(spark, "documents"), mix), duck().execute(mixing.oracle(mix)))
 
 
+def test_largest_budget_at_target_shares(spark):
+    docs = documents(spark, rows_for([("src0", "en", 60), ("src1", "en", 400), ("src2", "de", 90), ("src2", "en", 300), ("src3", "en", 500)]))
+    got = mixing.mix_documents(docs, mixing.Mix(max_epochs=1, budget_permille=None))
+    used = {r[0]: r[1] for r in got.groupBy("domain").agg(F.sum(F.col("n_copies") * F.col("n_tokens"))).collect()}
+    total = sum(used.values())
+    assert used["dom0"] == got.where("domain = 'dom0'").agg(F.sum("n_tokens")).first()[0]  # the scarce domain is taken whole
+    assert all(abs(used[d] / total - share) < 0.02 for d, share in {"dom0": 0.4, "dom1": 0.3, "dom2": 0.2, "dom3": 0.1}.items())
+
+
 def rows_for(counts):
     out, n = [], 0
     for source, lang, k in counts:
