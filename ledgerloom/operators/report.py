@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.operators.ingest import node_group
 from ledgerloom.operators.ranks import dense_ids
-from ledgerloom.runtime import prepare_python
+from ledgerloom.runtime import materialize, prepare_python
 
 # fixed values: names of typologies, and the confidences of the offline classifier
 NESTED, CONSOLIDATION, LAYERING, PEELING = "nested_service", "consolidation", "layering_smurfing", "peeling_chain"
@@ -128,22 +128,33 @@ def lead_layout(nodes: DataFrame) -> DataFrame:
     return nodes.select("pos", "idx", "role", x.alias("x"), F.when(n > 1, 1 - 2 * i / (n - 1)).otherwise(0.0).alias("y"))
 
 
-def local_exit_path(nodes: DataFrame, graph: DataFrame, max_hops: int = 6) -> DataFrame:
+def local_exit_path(nodes: DataFrame, graph: DataFrame, max_hops: int | None = None) -> DataFrame:
     """pos, path: a shortest path in the group's graph from its entry (the smallest internal node fed by a sender, else the smallest) to a
-    receiver; ties: the smallest path. Empty without one."""
+    receiver; ties: the smallest path. Empty without one. max_hops: the longest path looked for; any length by default.
+
+    Only the paths to nodes that weren't reached before go on, and only in groups without a path yet."""
     role = nodes.select("pos", "idx", "role")
     fed = graph.join(role.where("role = 'sender'").select("pos", F.col("idx").alias("src")), ["pos", "src"], "left_semi").select("pos", F.col("dst").alias("idx"))
     inner = role.where("role = 'internal'").select("pos", "idx")
     first = inner.join(fed.distinct().withColumn("fed", F.lit(0)), ["pos", "idx"], "left").groupBy("pos")
     path = first.agg(F.min(F.struct(F.coalesce("fed", F.lit(1)), "idx")).alias("s")).select("pos", F.col("s.idx").alias("idx"), F.array("s.idx").alias("path"))
-    ends, found = role.where("role = 'receiver'").select("pos", "idx"), None
-    for _ in range(max_hops):
-        step = path.join(graph.select("pos", F.col("src").alias("idx"), "dst"), ["pos", "idx"]).where(~F.array_contains("path", F.col("dst")))
-        path = step.groupBy("pos", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")).withColumnRenamed("dst", "idx")
-        hit = path.join(ends, ["pos", "idx"], "left_semi").select("pos", "path")
+    ends = materialize(role.where("role = 'receiver'").select("pos", "idx"))
+    links = materialize(graph.select("pos", F.col("src").alias("idx"), "dst").distinct())
+    seen = path = materialize(path)
+    found, hop = None, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        step = path.join(links, ["pos", "idx"]).groupBy("pos", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        new = materialize(step.withColumnRenamed("dst", "idx").select("pos", "idx", "path").join(seen.select("pos", "idx"), ["pos", "idx"], "left_anti"))
+        hit = materialize(new.join(ends, ["pos", "idx"], "left_semi").groupBy("pos").agg(F.min("path").alias("path")))
         found = hit if found is None else found.union(hit)
-    best = found.groupBy("pos").agg(F.min(F.struct(F.size("path"), "path")).alias("b"))
-    return role.select("pos").distinct().join(best, "pos", "left").select("pos", F.coalesce("b.path", F.array().cast("array<bigint>")).alias("path"))
+        path = materialize(new.join(hit.select("pos"), "pos", "left_anti"))
+        if path.isEmpty():
+            break
+        seen = materialize(seen.select("pos", "idx").union(path.select("pos", "idx")))
+    if found is None:
+        found = path.select("pos", "path").where("false")
+    return role.select("pos").distinct().join(found, "pos", "left").select("pos", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
 
 
 def bin_features(rows: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:

@@ -11,9 +11,8 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ledgerloom.operators import discovery, evaluate, features, ingest, labels, learn, report, search
+from ledgerloom.operators import discovery, evaluate, features, gnn, ingest, labels, learn, report, search
 from ledgerloom.operators.features import rounded
 from ledgerloom.runtime import materialize
 from ledgerloom.sources.graphview import FEATURES, GraphView, view
@@ -30,7 +29,9 @@ CTE: dict[str, tuple[str, str]] = {
       l_extendedprice as weight, cast(date_diff('day', date '1995-01-01', cast(l_shipdate as date)) as double) as ts, l_quantity as quantity, l_discount as discount, l_tax as tax
       from lineitem join orders on l_orderkey = o_orderkey"""),
     "edges": ("nodes raw_edges", "select a.idx as src, b.idx as dst, weight, ts, quantity, discount, tax from raw_edges join nodes a on a.orig_id = x join nodes b on b.orig_id = y"),
-    "paths": ("edges", "select distinct src, dst from edges where quantity >= 50 and src <> dst"),
+    "links": ("nodes", """select a.idx as src, b.idx as dst from (select o_custkey as x, lead(o_custkey) over (partition by date_trunc('month', o_orderdate)
+      order by o_orderdate, o_orderkey) as y from orders) join nodes a on a.orig_id = 'c' || x join nodes b on b.orig_id = 'c' || y"""),
+    "paths": ("edges links", "select src, dst from edges where src <> dst union select src, dst from links where src <> dst"),
     "raw_members": ("", "select 'c' || c_custkey as clid, c_nationkey || ':' || c_mktsegment as ccid, c_acctbal from customer"),
     "comps": ("raw_members", """select row_id, ccid, case when ntile(10) over (order by mean, ccid) = 1 then 'suspicious' else 'licit' end as label
       from (select row_number() over (order by mean, ccid) - 1 as row_id, * from (select ccid, round(sum(c_acctbal), 2) / count(*) as mean from raw_members group by ccid))"""),
@@ -268,6 +269,12 @@ query("test_labels_masked", "labels deg", "select count(*) as n_test, count(*) f
 query("adjacency", "edges", "select distinct src, dst from edges where src <> dst")(lambda v: search.adjacency(v.edges))
 query("hubs", "edges", "select idx from (select src as idx from edges union all select dst from edges) group by idx having count(*) > 100")(lambda v: search.hubs(v.edges, 100))
 query("bfs", "fwd", "select cast(0 as bigint) as grp, idx, cast(hop as int) as hop from fwd")(lambda v: search.bfs(v.paths, v.suspects))
+query("bfs_hubs", "paths suspects edges", """select cast(0 as bigint) as grp, idx, cast(min(hop) as int) as hop from fh group by idx""")(
+    lambda v: search.bfs(v.paths, v.suspects, hub=search.hubs(v.edges, 100))
+)
+ORACLES["bfs_hubs"] = ORACLES["bfs_hubs"].replace(" select cast(0", """, hb as (select idx from (select src as idx from v_edges union all select dst from v_edges) group by idx having count(*) > 100),
+  fh(idx, hop) as (select idx, 0 from v_suspects union select dst, hop + 1 from fh join v_paths on src = idx where hop < 6 and (hop = 0 or idx not in (select idx from hb)))
+  select cast(0""", 1)
 query("bfs_capped")(lambda v: search.bfs(v.paths, v.suspects, cap=50))
 query("reachability", "fwd back", "select cast(0 as bigint) as grp, f.idx, cast(f.hop as int) as fwd, cast(b.hop as int) as back from fwd f join back b on f.idx = b.idx")(
     lambda v: search.reachability(v.paths, v.suspects, v.ends)
@@ -298,18 +305,9 @@ query("border_sets_capped", "border", "select pos, role, idx from border qualify
 )
 
 
-def _consecutive(v: GraphView) -> DataFrame:
-    """Customers of consecutive orders, as a graph among customers."""
-    w = Window.partitionBy(F.date_trunc("month", "o_orderdate")).orderBy("o_orderdate", "o_orderkey")
-    x = v.table("orders").select("o_custkey", F.lead("o_custkey").over(w).alias("n")).where("n is not null")
-    c = v.ids
-    x = x.select(F.concat(F.lit("c"), "o_custkey").alias("clId1"), F.concat(F.lit("c"), "n").alias("clId2"))
-    return ingest.remap_edges(x, c)
-
-
-query("internal_edges", "members nodes", """select a.pos, a.idx as src, b.idx as dst from (select o_custkey as x, lead(o_custkey) over (partition by date_trunc('month', o_orderdate)
-  order by o_orderdate, o_orderkey) as y from orders) join nodes na on na.orig_id = 'c' || x join nodes nb on nb.orig_id = 'c' || y
-  join members a on a.idx = na.idx join members b on b.idx = nb.idx and b.pos = a.pos""")(lambda v: search.internal_edges(_consecutive(v), v.members))
+query("internal_edges", "members links", "select a.pos, src, dst from links join members a on a.idx = src join members b on b.idx = dst and b.pos = a.pos")(
+    lambda v: search.internal_edges(v.links, v.members)
+)
 query("neighbor_sample", "paths suspects", """, h1 as (select src, dst from v_paths join v_suspects on dst = idx qualify row_number() over (partition by dst order by md5('0:' || src || ':' || dst), src) <= 15),
   f1 as (select distinct src as idx from h1 except select idx from v_suspects),
   h2 as (select src, dst from v_paths join f1 on dst = idx qualify row_number() over (partition by dst order by md5('1:' || src || ':' || dst), src) <= 10)
@@ -360,15 +358,14 @@ query("nnpu_risk", "scored", """select round(pr, 6) as positive_risk, round(nr,
 )
 
 
-@query("tice_prior", "scored", """, m as (select median(score) as t, count(*) as n, sum(label) as y from v_scored),
-  s as (select count(*) as n, sum(label) as y from v_scored, m where score <= t union all select count(*), sum(label) from v_scored, m where score > t union all select n, y from m)
-  select round(least(1, max(m.y) / max(m.n) / max(s.y / s.n)), 6) as prior, round(max(s.y / s.n), 6) as label_frequency, cast(max(m.y) as bigint) as n_labeled, max(m.n) as n_total from s, m""")
+@query("tice_prior")
 def _tice(v: GraphView) -> DataFrame:
-    x = evaluate.tice_prior(_scored(v).withColumn("labeled", F.col("label") == 1), ["score"], max_depth=1)
-    return _round(x.select("prior", "label_frequency", "n_labeled", "n_total"), "prior", "label_frequency")
+    """At the default depth; tested against a brute-force version."""
+    x = v.table("documents").join(v.table("labels"), "doc_id")
+    x = x.select((F.col("n_chars") / 40000.0).alias("size"), F.col("toxic").cast("double").alias("toxic"), (F.col("quality") == 1).alias("labeled"))
+    return _round(evaluate.tice_prior(x, ["size", "toxic"]), "prior", "label_frequency", "labeled_fraction")
 
 
-ORACLES["tice_prior"] = ORACLES["tice_prior"].replace(") , m as", "), m as")
 query("prior_grid", "", "")(lambda v: _round(evaluate.prior_grid(v.spark, include=0.02), "prior"))
 ORACLES["prior_grid"] = "select round(pow(10.0, i - 5), 6) as prior from range(5) t(i) union select 0.02"
 
@@ -414,17 +411,17 @@ query("recovery_targets", "members splits", "select pos as id, idx from members
 
 # learning -------------------------------------------------------------------------------------------------------------
 
-_VECTOR = [f"e{i}" for i in range(8)]
+_VECTOR = [f"e{i}" for i in range(64)]
 
 
 def _vectors(v: GraphView) -> DataFrame:
-    """idx, label and the first components of the embeddings."""
-    return v.table("embeddings").select(F.col("vec_id").alias("idx"), "label", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
+    """idx, label and the components of the embeddings."""
+    return v.table("embeddings").select(F.col("vec_id").alias("idx"), "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_VECTOR)))
 
 
 query("standardize", "", "")(lambda v: _round(learn.standardize(_vectors(v), _VECTOR).select("idx", *_VECTOR), *_VECTOR))
 ORACLES["standardize"] = "select vec_id as idx, " + ", ".join(
-    f"round((embedding[{i + 1}] - avg(cast(embedding[{i + 1}] as double)) over ()) / stddev_pop(cast(embedding[{i + 1}] as double)) over (), 6) + 0.0 as e{i}" for i in range(8)) + " from embeddings"
+    f"round((embedding[{i + 1}] - avg(cast(embedding[{i + 1}] as double)) over ()) / stddev_pop(cast(embedding[{i + 1}] as double)) over (), 6) + 0.0 as {c}" for i, c in enumerate(_VECTOR)) + " from embeddings"
 query("fit_standardizer", "nodes members border", """select round(avg(size), 6) as size_mean, round(stddev_pop(size), 6) as size_std from nodes
   where idx in (select idx from members union select idx from border)""")(
     lambda v: _round(learn.fit_standardizer(v.nodes, v.members, search.border_sets(v.edges, v.members), ["size"]), "size_mean", "size_std")
@@ -475,13 +472,28 @@ def _gbt_nodes(v: GraphView) -> DataFrame:
 def _deep_sets(v: GraphView) -> DataFrame:
     table = _node_table(v)
     columns = [c for c in table.columns if c != "idx"]
-    border = search.border_sets_capped(search.border_sets(v.paths, v.members))
+    border = search.border_sets_capped(search.border_sets(v.edges, v.members))
     rows = learn.set_batch(v.members, border, learn.standardize(table, columns), columns).cache()
     y = v.members.select("pos", "ccId", (F.col("ccLabel") == "suspicious").cast("int").alias("label")).distinct().join(v.splits.select(F.col("id").alias("ccId"), "split"), "ccId")
     model = learn.DeepSets(columns, hidden=8, epochs=60).fit(rows, y.where("split = 'train'"))
     return model.score(rows).select("pos", F.round("score", 4).alias("score"))
 
 
+@query("nnpu_scorer")
+def _nnpu_scorer(v: GraphView) -> DataFrame:
+    table = _node_table(v)
+    columns = [c for c in table.columns if c != "idx"]
+    x = materialize(learn.standardize(table, columns).select("idx", F.array(*columns).alias("x")))
+    model = gnn.GraphScorer(len(columns), hidden=(16, 8), epochs=10, seeds=1024).fit(x, v.paths, labels.positive_members(v.members, v.splits, "train"), 0.1)
+    return model.score(x, v.paths).select("idx", F.round("score", 4).alias("score"))
+
+
+@query("prior_estimate")
+def _prior_estimate(v: GraphView) -> DataFrame:
+    x = gnn.estimate_prior(features.degree(v.nodes, v.edges).join(v.nodes, "idx"), labels.positive_members(v.members, v.splits, "train"), ["size", "in_degree"])
+    return _round(x, "prior", "label_frequency", "labeled_fraction")
+
+
 # reports --------------------------------------------------------------------------------------------------------------
 
 
@@ -546,7 +558,7 @@ query("bin_features", "members nodes", """select pos, idx, cast(case when hi > l
     lambda v: report.bin_features(v.members.select("pos", "idx").join(v.nodes, "idx").select("pos", "idx", "size"), ["size"])
 )
 query("subgraph_int_id", "lead", 'select pos, ccid as "ccId", coalesce(try_cast(ccid as bigint), pos) as subgraph_id from lead')(lambda v: report.subgraph_int_id(v.groups))
-query("local_exit_path")(lambda v: report.local_exit_path(*_lead(v), max_hops=3).select("pos", F.array_join("path", ">").alias("path")))
+query("local_exit_path")(lambda v: report.local_exit_path(*_lead(v)).select("pos", F.array_join("path", ">").alias("path")))
 
 
 def _documents(v: GraphView) -> tuple[DataFrame, DataFrame]:

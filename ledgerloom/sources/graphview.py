@@ -1,8 +1,8 @@
 """The graph view over the driver tables, as ingested tables.
 
 Nodes are customers and suppliers, edges the line items joined with their orders (a returned item flows from supplier to customer,
-any other from customer to supplier), groups the customers of one nation and market segment; a group is suspicious if its mean balance
-is in the lowest tenth. Ingested once a session and directory, into the shared folder.
+any other from customer to supplier), links the pairs of customers with consecutive orders, groups the customers of one nation and market segment;
+a group is suspicious if its mean balance is in the lowest tenth. Ingested once a session and directory, into the shared folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.operators import ingest, labels, search
 from ledgerloom.operators.ranks import dense_ids
@@ -70,10 +71,19 @@ class GraphView:
         """src, dst, weight, ts, quantity, discount, tax."""
         return materialize(ingest.remap_edges(self.raw_edges, self.ids))
 
+    @cached_property
+    def links(self) -> DataFrame:
+        """src, dst: customers of consecutive orders of a month, a link for each pair of orders."""
+        month = Window.partitionBy(F.date_trunc("month", "o_orderdate")).orderBy("o_orderdate", "o_orderkey")
+        x = self.table("orders").select("o_custkey", F.lead("o_custkey").over(month).alias("n")).where("n is not null")
+        x = x.select(F.concat(F.lit("c"), "o_custkey").alias("clId1"), F.concat(F.lit("c"), "n").alias("clId2"))
+        return materialize(ingest.remap_edges(x, self.ids))
+
     @cached_property
     def paths(self) -> DataFrame:
-        """The sparse part of the edges: the largest quantities."""
-        return materialize(search.adjacency(self.edges.where("quantity >= 50")))
+        """src, dst: all edges and links, each pair once. Trade alone has paths between customers and suppliers only, and suppliers are
+        hubs; links join customers."""
+        return materialize(search.adjacency(self.edges.select("src", "dst").union(self.links.select("src", "dst"))))
 
     @cached_property
     def groups(self) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import verdicts
-from ledgerloom.operators import ingest, learn, report, search
+from ledgerloom.operators import gnn, ingest, learn, report, search
 from ledgerloom.streaming import aggregates
 
 from .test_features import edges, members, splits
@@ -121,6 +121,74 @@ def test_leads(spark):
     assert tuple(r) == (0, 2, 1, 1, 3, 1, 1)
 
 
+def test_local_exit_path_of_any_length(spark):
+    nodes = spark.createDataFrame([(0, i, "internal") for i in range(9)] + [(0, 9, "receiver"), (1, 20, "internal"), (2, 30, "internal"), (2, 31, "receiver")], "pos long, idx long, role string")
+    chain = [(0, i, i + 1) for i in range(9)] + [(0, 5, 2), (0, 0, 4), (1, 20, 20), (2, 31, 30)]
+    graph = spark.createDataFrame(chain, "pos long, src long, dst long")
+    got = {r["pos"]: r["path"] for r in report.local_exit_path(nodes, graph).collect()}
+    assert got == {0: [0, 4, 5, 6, 7, 8, 9], 1: [], 2: []}
+    assert {r["pos"]: r["path"] for r in report.local_exit_path(nodes, graph, 5).collect()}[0] == []
+
+
+@pytest.fixture(scope="module")
+def chains(spark):
+    """Chains of five nodes; the nodes of every other chain are shifted."""
+    r = np.random.default_rng(1)
+    x = [(5 * c + i, [float(v) for v in r.standard_normal(2) + (3 if c % 2 else -3)]) for c in range(12) for i in range(5)]
+    e = [(5 * c + i, 5 * c + i + 1) for c in range(12) for i in range(4)]
+    return spark.createDataFrame(x, "idx long, x array<double>"), edges(spark, e)
+
+
+def test_graph_scorer(spark, chains):
+    x, e = chains
+    known = spark.createDataFrame([(n,) for c in (1, 3, 5) for n in range(5 * c, 5 * c + 5)], "idx long")
+    model = gnn.GraphScorer(2, hidden=(8, 4), epochs=60, batch=32, seed=2).fit(x, e, known, 0.5)
+    assert model.losses[-1] < model.losses[0]
+    score = {r["idx"]: r["score"] for r in model.score(x, e).collect()}
+    assert len(score) == 60
+    unseen = [c for c in (7, 9, 11) for _ in range(1)]
+    assert min(score[5 * c + i] for c in unseen for i in range(5)) > max(score[5 * c + i] for c in range(0, 12, 2) for i in range(5))
+    with pytest.raises(ingest.GuardError):
+        model.score(spark.createDataFrame([(0, [1.0])], "idx long, x array<double>"), e)
+    with pytest.raises(ingest.GuardError):
+        gnn.GraphScorer(2).fit(x, e, known.where("idx < 0"), 0.5)
+
+
+@pytest.mark.parametrize("gamma", [1.0, 0.5])
+@pytest.mark.parametrize("shift", [0.0, 4.0])
+def test_graph_scorer_gradients(gamma, shift):
+    """Against finite differences, with the risk as it is and clamped."""
+    r = np.random.default_rng(4)
+    m = gnn.GraphScorer(3, hidden=(5, 4), seed=3, gamma=gamma)
+    x, src, dst = r.standard_normal((9, 3)), r.integers(0, 9, 14), r.integers(0, 9, 14)
+    rows, yes, prior = np.arange(6), np.array([1, 1, 0, 0, 0, 0], dtype=bool), 0.6
+    m.bias[0] = -shift
+    m.head *= 1 + shift
+
+    def risk():
+        s = 1 / (1 + np.exp(-m._forward(x, src, dst)[0][rows]))
+        pos, neg = prior * (1 - s[yes]).mean(), s[~yes].mean() - prior * s[yes].mean()
+        return -gamma * neg if neg < 0 else pos + neg
+
+    _, grads = m._gradients(x, src, dst, rows, yes, prior)
+    for w, g in zip(m._weights(), grads, strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, values = w[at], []
+        for d in (1e-6, -1e-6):
+            w[at] = old + d
+            values.append(risk())
+        w[at] = old
+        assert g[at] == pytest.approx((values[0] - values[1]) / 2e-6, rel=1e-3, abs=1e-8)
+
+
+def test_prior_of_a_bounded_draw(spark):
+    x = spark.range(3000).selectExpr("id as idx", "id / 3000D as f")
+    yes = x.where("f > 0.8 and idx % 2 = 0").select("idx")
+    whole, part = (gnn.estimate_prior(x, yes, ["f"], most=n).first() for n in (5000, 1000))
+    assert whole["n_total"] == 3000 and 900 < part["n_total"] - part["n_labeled"] < 1100 and part["n_labeled"] == whole["n_labeled"] == yes.count()
+    assert 0.15 < whole["prior"] < 0.25
+
+
 def test_bins_and_ids(spark):
     x = spark.createDataFrame([(0, 0, 0.0, 1.0), (0, 1, 5.0, 1.0), (0, 2, 10.0, 1.0)], "pos long, idx long, a double, b double")
     assert [(r["a"], r["b"]) for r in report.bin_features(x, ["a", "b"]).orderBy("idx").collect()] == [(0, 0), (5, 0), (9, 0)]

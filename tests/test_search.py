@@ -207,5 +207,46 @@ def test_tice(spark):
         evaluate.tice_prior(spark.createDataFrame([(1.0, False)], "x double, labeled boolean"), ["x"])
 
 
+def halved(rows, depth, least):
+    """Size and labelled rows of every subdomain, for rows (features, labeled)."""
+    out = [(len(rows), sum(y for *_, y in rows))]
+    if not depth or len(rows) < 2 * least:
+        return out
+    best = None
+    for f in range(len(rows[0]) - 1):
+        t = float(np.quantile([r[f] for r in rows], 0.5))
+        low, high = [r for r in rows if r[f] <= t], [r for r in rows if r[f] > t]
+        if len(low) < least or len(high) < least:
+            continue
+        for side in (low, high):
+            share = sum(y for *_, y in side) / len(side)
+            if best is None or share > best[0]:
+                best = share, low, high
+    for side in best[1:] if best else ():
+        out += halved(side, depth - 1, least)
+    return out
+
+
+def test_tice_against_brute_force(spark):
+    r = random.Random(8)
+    rows = [(round(x, 2), y, x > 0.7 and y < 3 and r.random() < 0.6) for x, y in ((r.random(), float(r.randrange(6))) for _ in range(150))]
+    t = evaluate.tice_prior(spark.createDataFrame(rows, "a double, b double, labeled boolean"), ["a", "b"]).first()
+    want = halved(rows, 4, 5)
+    best = max(y / n for n, y in want)
+    assert t["n_subdomains"] == len(want) and t["label_frequency"] == pytest.approx(best)
+    assert t["prior"] == pytest.approx(min(1, sum(y for *_, y in rows) / 150 / best))
+
+
+def test_hubs_against_brute_force(spark):
+    r = random.Random(11)
+    pairs = {(r.randrange(20), r.randrange(20)) for _ in range(60)}
+    hub, start = {3, 4, 5}, {0, 3}
+    level, seen = set(start), dict.fromkeys(start, 0)
+    for h in range(1, 7):
+        level = {b for a, b in pairs if a in level and (h == 1 or a not in hub) and b not in seen}
+        seen |= dict.fromkeys(level, h)
+    assert hops(search.bfs(edges(spark, sorted(pairs)), ids(spark, start), 6, hub=ids(spark, hub))) == seen
+
+
 def test_prior_grid(spark):
     assert sorted(r[0] for r in evaluate.prior_grid(spark, include=0.5).collect()) == pytest.approx([1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 0.5])
