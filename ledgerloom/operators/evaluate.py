@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ranks import quantile, value_ranks
+from ledgerloom.operators.ranks import value_ranks, with_offsets
 from ledgerloom.runtime import materialize
 
 
@@ -82,6 +82,16 @@ def nnpu_risk(scores: DataFrame, prior: float, beta: float = 0.0, gamma: float =
     )
 
 
+def _medians(values: DataFrame) -> DataFrame:
+    """part, f, median of values (part, f, v, n: n rows have the value v), by one global order of all values."""
+    ranks = materialize(with_offsets(values.select("part", "f", "v", "n"), ["part", "f", "v"], "n", "before"))
+    group = ranks.groupBy("part", "f").agg(F.min("before").alias("start"), F.sum("n").alias("total"))
+    x = ranks.join(F.broadcast(group), ["part", "f"]).withColumn("before", F.col("before") - F.col("start"))  # a row for each part and feature
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (F.col("before") + F.col("n") > k), F.col("v")))
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    return x.groupBy("part", "f").agg(at(low).alias("a"), at(high).alias("b")).select("part", "f", ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
 def tice_prior(table: DataFrame, features: Sequence[str], delta: float = 0.0, max_depth: int = 4, min_subset: int = 5) -> DataFrame:
     """prior, label_frequency, labeled_fraction, n_labeled, n_total, n_subdomains for table (features, labeled boolean).
 
@@ -90,34 +100,43 @@ def tice_prior(table: DataFrame, features: Sequence[str], delta: float = 0.0, ma
     """
     if not 0 <= delta < 1:
         raise ValueError("delta is from 0 to below 1")
-    stats = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.col("labeled").cast("int")), F.lit(0))).first()
-    n, labeled = stats(table)
+    yes = F.col("labeled").cast("int")
+    rows = materialize(table.select(*(F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)), yes.alias("yes"), F.lit(0).alias("part")))
+    n, labeled = rows.agg(F.count("*"), F.coalesce(F.sum("yes"), F.lit(0))).first()
     if not labeled:
         raise ValueError("no labelled row")
-    found = [(n, labeled)]
-    level = [table]
-    for _ in range(max_depth):
-        below = []
-        for part in level:
-            size, _ = stats(part)
-            if size < 2 * min_subset:
+    found, open_parts = [(n, labeled)], {0: (n, labeled)}
+    for depth in range(max_depth):
+        open_parts = {k: v for k, v in open_parts.items() if v[0] >= 2 * min_subset}
+        if not open_parts or not features:
+            break
+        rows = rows.where(F.col("part").isin(*open_parts))
+        cells = F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("v")) for i in range(len(features))))
+        long = rows.select("part", "yes", F.explode(cells).alias("c")).groupBy("part", "c.f", "c.v").agg(F.count("*").alias("n"), F.sum("yes").alias("y"))
+        middle = _medians(long.where("v is not null"))
+        below = materialize(long.join(F.broadcast(middle), ["part", "f"]).groupBy("part", "f").agg(  # at most 2^depth parts by features
+            F.first("median").alias("median"), F.sum(F.when(F.col("v") <= F.col("median"), F.col("n"))).alias("n"), F.sum(F.when(F.col("v") <= F.col("median"), F.col("y"))).alias("y")
+        ))
+        cut: dict[int, tuple[float, int, float]] = {}
+        for r in below.orderBy("part", "f").collect():
+            size, total = open_parts[r["part"]]
+            low, low_yes = r["n"] or 0, r["y"] or 0
+            if low < min_subset or low > size - min_subset:
                 continue
-            best = None
-            for f in features:
-                t = quantile(part, f, 0.5)
-                low, low_yes = stats(part.where(F.col(f) <= t))
-                if low < min_subset or low > size - min_subset:
-                    continue
-                high_yes = stats(part)[1] - low_yes
-                for share in (low_yes / low, high_yes / (size - low)):
-                    if best is None or share > best[0]:
-                        best = (share, f, t)
-            if best:
-                for side in (part.where(F.col(best[1]) <= best[2]), part.where(F.col(best[1]) > best[2])):
-                    side = materialize(side)
-                    found.append(tuple(stats(side)))
-                    below.append(side)
-        level = below
+            best = max(low_yes / low, (total - low_yes) / (size - low))
+            if r["part"] not in cut or best > cut[r["part"]][0]:
+                cut[r["part"]] = (best, r["f"], r["median"])
+        if not cut:
+            break
+        side, new = F.lit(None).cast("int"), {}
+        for k, (_, f, t) in cut.items():
+            here = F.col("part") == k
+            side = F.when(here & (F.col(f"f{f}") <= t), 2 * k + 1).when(here & (F.col(f"f{f}") > t), 2 * k + 2).otherwise(side)
+        rows = materialize(rows.withColumn("part", side).where("part is not null"))
+        for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("yes").alias("y")).collect():
+            new[r["part"]] = (r["n"], r["y"])
+        found += new.values()
+        open_parts = new
     share = labeled / n
     best_c = share
     for size, yes in found:

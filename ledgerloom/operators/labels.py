@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ledgerloom.operators.ingest import LICIT, SUSPICIOUS, GuardError, node_group
 from ledgerloom.operators.ranks import dense_ids
 from ledgerloom.operators.search import undirected
+from ledgerloom.runtime import materialize
 
 HUB_CAP = 100
 
@@ -48,12 +49,14 @@ def known_members(members: DataFrame, splits: DataFrame | None = None, split: st
 
 def two_hop(edges: DataFrame, hub_cap: int | None = HUB_CAP) -> DataFrame:
     """a, b at distance exactly two (both directions). Nodes of more than hub_cap neighbours are left out, as ends and middles."""
-    near = undirected(edges)
+    return _two_hop(materialize(undirected(edges)), hub_cap)
+
+
+def _two_hop(near: DataFrame, hub_cap: int | None) -> DataFrame:
+    inner = near
     if hub_cap is not None:
-        small = near.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") <= hub_cap).select("a")
-        inner = near.join(small, "a", "left_semi").join(small.toDF("b"), "b", "left_semi").select("a", "b")
-    else:
-        inner = near
+        small = materialize(near.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") <= hub_cap).select("a"))
+        inner = materialize(near.join(small, "a", "left_semi").join(small.toDF("b"), "b", "left_semi").select("a", "b"))
     far = inner.select("a", F.col("b").alias("m")).join(inner.select(F.col("a").alias("m"), "b"), "m").where("a <> b").select("a", "b").distinct()
     return far.join(near, ["a", "b"], "left_anti")
 
@@ -66,10 +69,11 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, labels: DataFrame, hops: Se
     x = nodes.select("idx")
     own = labels.select(F.col("idx").alias("a"), F.col("pos").alias("own"))
     seen = labels.select(F.col("idx").alias("b"), "pos", "label", "is_test")
+    near = materialize(undirected(edges))
     for h in hops:
         if h not in (1, 2):
             raise ValueError("hops are 1 and 2")
-        pairs = undirected(edges) if h == 1 else two_hop(edges, hub_cap)
+        pairs = near if h == 1 else _two_hop(near, hub_cap)
         joined = pairs.join(own, "a", "left").join(seen, "b", "left")
         counts = F.col("label").isNotNull() & ~F.col("is_test") & ~F.col("own").eqNullSafe(F.col("pos"))
         share = [F.count_if(counts & (F.col("label") == v)) / F.count("*") for v in (SUSPICIOUS, LICIT)]

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ledgerloom.runtime import materialize
 
 
-def _with_offsets(df: DataFrame, order: list, amount: str | None, out: str) -> DataFrame:
+def with_offsets(df: DataFrame, order: list, amount: str | None, out: str) -> DataFrame:
     """df with `out`: the sum of `amount` (None: rows) over all earlier rows in the order of the columns `order`."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     parts = materialize(parts)
@@ -27,13 +27,13 @@ def _with_offsets(df: DataFrame, order: list, amount: str | None, out: str) -> D
 
 def dense_ids(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     """df with `out` numbering its rows from 0 in the order of the columns, which should identify rows."""
-    return _with_offsets(df, list(order), None, out).withColumn(out, F.col(out).cast("long"))
+    return with_offsets(df, list(order), None, out).withColumn(out, F.col(out).cast("long"))
 
 
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
     """One row for each distinct value of the column: n rows have it, before rows have a smaller one."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return _with_offsets(counts, [column], "n", "before")
+    return with_offsets(counts, [column], "n", "before")
 
 
 def percentile_rank(df: DataFrame, column: str, out: str, total: int) -> DataFrame:
@@ -50,7 +50,7 @@ def percentile_ranks(df: DataFrame, columns: list[str], total: int, key: str = "
     """key and p_{column} for several columns, as percentile_rank() of each, in one sort of all columns' values."""
     long = df.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("x"))
     long = long.select(key, "x.c", "x.v")
-    counts = _with_offsets(long.groupBy("c", "v").agg(F.count("*").alias("n")), ["c", "v"], "n", "before")
+    counts = with_offsets(long.groupBy("c", "v").agg(F.count("*").alias("n")), ["c", "v"], "n", "before")
     smaller = F.col("before") - F.col("c") * total  # each column has total rows
     rank = (smaller + (F.col("n") - 1) / 2) / (total - 1) if total > 1 else F.lit(0.5)
     x = long.join(counts.select("c", "v", rank.alias("p")), ["c", "v"])

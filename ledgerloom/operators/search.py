@@ -39,25 +39,30 @@ def hubs(edges: DataFrame, above: int) -> DataFrame:
 
 
 def bfs(
-    edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS, backward: bool = False, cap: int | None = None, hub: DataFrame | None = None
-) -> DataFrame:
+    edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS, backward: bool = False, cap: int | None = None, hub: DataFrame | None = None,
+    needs: DataFrame | None = None,
+) -> DataFrame:
     """grp, idx, hop within max_hops of each group's seeds (grp, idx; without grp all are one group).
 
     cap: of a level's new nodes only the cap lowest ids of a group are kept; the others may be found again later. Nodes of hub
-    are reached but not passed, seeds excepted.
+    are reached but not passed, seeds excepted. needs (idx, hop): the hops that a node still needs; a node isn't entered with fewer left, nor
+    without a row. This leaves out no node on a path of max_hops to where needs is 0, as long as neither caps nor hubs stop the sweep.
     """
     if max_hops < 0:
         raise ValueError("max_hops is from 0")
     if "grp" not in seeds.columns:
         seeds = seeds.withColumn("grp", F.lit(0).cast("long"))
     step = adjacency(edges).select(*((F.col("dst").alias("a"), F.col("src").alias("b")) if backward else (F.col("src").alias("a"), F.col("dst").alias("b"))))
+    if needs is not None:
+        step = step.join(needs.select(F.col("idx").alias("b"), F.col("hop").alias("need")), "b")
     step = materialize(step)
     seen = materialize(seeds.select(F.col("grp").cast("long").alias("grp"), F.col("idx").cast("long").alias("idx")).distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, max_hops + 1):
         at = seen.where(F.col("hop") == hop - 1)
         if hub is not None and hop > 1:
             at = at.join(hub.select("idx"), "idx", "left_anti")
-        new = at.join(step, F.col("idx") == F.col("a")).select("grp", F.col("b").alias("idx")).distinct().join(seen, ["grp", "idx"], "left_anti")
+        ways = step if needs is None else step.where(F.col("need") + hop <= max_hops)
+        new = at.join(ways, F.col("idx") == F.col("a")).select("grp", F.col("b").alias("idx")).distinct().join(seen, ["grp", "idx"], "left_anti")
         if cap is not None:
             place = F.row_number().over(Window.partitionBy("grp").orderBy("idx"))
             new = new.withColumn("__r", place).where(F.col("__r") <= cap).drop("__r")
@@ -92,7 +97,12 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def carve(edges: DataFrame, candidates: DataFrame, endpoints: DataFrame, max_hops: int = MAX_HOPS, cap: int | None = None, hub: DataFrame | None = None) -> DataFrame:
     """candidate, idx: for every candidate (idx) the nodes on paths of at most max_hops to an endpoint, endpoints left out."""
     seeds = candidates.select(F.col("idx").alias("grp"), "idx").distinct()
-    x = survivors(reachability(edges, seeds, endpoints, max_hops, cap, hub), max_hops)
+    if cap is None and hub is None:
+        back = materialize(bfs(edges, endpoints, max_hops, True).select("idx", "hop"))
+        fwd = bfs(edges, seeds, max_hops, needs=back).withColumnRenamed("hop", "fwd")
+        x = survivors(fwd.join(back.withColumnRenamed("hop", "back"), "idx"), max_hops)
+    else:
+        x = survivors(reachability(edges, seeds, endpoints, max_hops, cap, hub), max_hops)
     return x.join(endpoints.select("idx"), "idx", "left_anti").select(F.col("grp").alias("candidate"), "idx")
 
 

@@ -317,13 +317,13 @@ query("seed_batches", "suspects", "select (row_number() over (order by md5('0:'
 _W_EGO, _W_NEIGH = np.array([[0.5, -0.25], [0.125, 1.0]]), np.array([[1.0, 0.5], [-0.5, 0.25]])
 
 
-@query("ego_neighbor_conv", "nodes paths", """select idx, round(0.5 * floor(size) - 0.25 * (idx % 7) + 1.0 * coalesce(a, 0) + 0.5 * coalesce(b, 0), 3) + 0.0 as y0,
-  round(0.125 * floor(size) + 1.0 * (idx % 7) - 0.5 * coalesce(a, 0) + 0.25 * coalesce(b, 0), 3) + 0.0 as y1 from nodes left join (
+@query("ego_neighbor_conv", "nodes paths", """select idx, round(0.5 * floor(size) + 1.0 * coalesce(a, 0) + -0.25 * (idx % 7) + 0.5 * coalesce(b, 0), 8) + 0.0 as y0,
+  round(0.125 * floor(size) + -0.5 * coalesce(a, 0) + 1.0 * (idx % 7) + 0.25 * coalesce(b, 0), 8) + 0.0 as y1 from nodes left join (
   select dst as idx, sum(floor(size)) / count(*) as a, sum(idx % 7) / count(*) as b from paths join nodes on idx = src group by dst) using (idx)""")
 def _ego(v: GraphView) -> DataFrame:
     x = v.nodes.select("idx", F.array(F.floor("size").cast("double"), (F.col("idx") % 7).cast("double")).alias("x"))
     y = search.ego_neighbor_conv(x, v.paths, _W_EGO, _W_NEIGH)
-    return y.select("idx", *((F.round(F.col("x")[i], 3) + 0.0).alias(f"y{i}") for i in range(2)))
+    return y.select("idx", *((F.round(F.col("x")[i], 8) + 0.0).alias(f"y{i}") for i in range(2)))
 
 
 @query("encoder_forward")
