@@ -1,7 +1,7 @@
 """Graph search: bounded breadth-first sweeps, two-sided reachability, carving, exit paths, borders, sampling.
 
-Sweeps are loops of joins whose state (grp, idx, hop) is written out at every level, for all groups at once; a node that
-was not reached has no row. Directions: forward follows src to dst, backward dst to src.
+Sweeps are loops of joins whose state is written out at every level, for all groups at once: a row holds the bits of up to 64 groups that have reached
+a node, so that groups share the join with the edges; a node that was not reached has no row. Directions: forward follows src to dst, backward dst to src.
 """
 
 from __future__ import annotations
@@ -50,22 +50,49 @@ def bfs(
     """
     if max_hops < 0:
         raise ValueError("max_hops is from 0")
-    if "grp" not in seeds.columns:
-        seeds = seeds.withColumn("grp", F.lit(0).cast("long"))
+    if "grp" in seeds.columns:
+        seeds = materialize(seeds.select(F.col("grp").cast("long").alias("grp"), F.col("idx").cast("long").alias("idx")).distinct())
+        groups = materialize(dense_ids(seeds.select("grp").distinct(), "grp", out="g"))
+    else:
+        seeds = seeds.select(F.lit(0).cast("long").alias("grp"), F.col("idx").cast("long").alias("idx")).distinct()
+        groups = edges.sparkSession.range(1).select(F.lit(0).cast("long").alias("grp"), F.col("id").alias("g"))
     step = adjacency(edges).select(*((F.col("dst").alias("a"), F.col("src").alias("b")) if backward else (F.col("src").alias("a"), F.col("dst").alias("b"))))
     if needs is not None:
         step = step.join(needs.select(F.col("idx").alias("b"), F.col("hop").alias("need")), "b")
     step = materialize(step)
-    seen = materialize(seeds.select(F.col("grp").cast("long").alias("grp"), F.col("idx").cast("long").alias("idx")).distinct().withColumn("hop", F.lit(0)))
+    if cap is not None:
+        return _capped(step, seeds, max_hops, cap, hub, needs is not None)
+    bits = F.bit_or(F.expr("shiftleft(1L, int(g % 64))"))
+    new = seeds.join(groups, "grp").groupBy(F.expr("g div 64").alias("word"), "idx").agg(bits.alias("bits"))
+    new = seen = materialize(new)
+    levels = new.withColumn("hop", F.lit(0))
+    for hop in range(1, max_hops + 1):
+        at = new if hub is None or hop == 1 else new.join(hub.select("idx"), "idx", "left_anti")
+        ways = step if needs is None else step.where(F.col("need") + hop <= max_hops)
+        got = at.join(ways, F.col("idx") == F.col("a")).groupBy("word", F.col("b").alias("idx")).agg(F.bit_or("bits").alias("bits"))
+        old = seen.withColumnRenamed("bits", "old")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        new = materialize(got.join(old, ["word", "idx"], "left").select("word", "idx", fresh.alias("bits")).where("bits <> 0"))
+        if new.isEmpty():
+            break
+        levels = levels.union(new.withColumn("hop", F.lit(hop)))
+        if hop < max_hops:
+            seen = materialize(seen.union(new).groupBy("word", "idx").agg(F.bit_or("bits").alias("bits")))
+    each = levels.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(F.getbit("bits", F.col("bit")) == 1)
+    return each.withColumn("g", F.col("word") * 64 + F.col("bit")).join(groups, "g").select("grp", "idx", "hop")
+
+
+def _capped(step: DataFrame, seeds: DataFrame, max_hops: int, cap: int, hub: DataFrame | None, needed: bool) -> DataFrame:
+    """bfs() with a cap on a group's new nodes, a row for each group and node."""
+    seen = materialize(seeds.withColumn("hop", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("idx"))
     for hop in range(1, max_hops + 1):
         at = seen.where(F.col("hop") == hop - 1)
         if hub is not None and hop > 1:
             at = at.join(hub.select("idx"), "idx", "left_anti")
-        ways = step if needs is None else step.where(F.col("need") + hop <= max_hops)
+        ways = step.where(F.col("need") + hop <= max_hops) if needed else step
         new = at.join(ways, F.col("idx") == F.col("a")).select("grp", F.col("b").alias("idx")).distinct().join(seen, ["grp", "idx"], "left_anti")
-        if cap is not None:
-            place = F.row_number().over(Window.partitionBy("grp").orderBy("idx"))
-            new = new.withColumn("__r", place).where(F.col("__r") <= cap).drop("__r")
+        new = new.withColumn("__r", place).where(F.col("__r") <= cap).drop("__r")
         grown = materialize(seen.union(new.select("grp", "idx", F.lit(hop).alias("hop"))))
         more = grown.where(F.col("hop") == hop).isEmpty()
         discard(seen)
