@@ -9,8 +9,9 @@ has no such least word; there a cut follows every MAX_PARAGRAPH words.
 Each paragraph has a MinHash over its N-word shingles; bands() tunes number and width of bands to the target recall. Paragraphs with a
 common band key are compared with the smallest paragraph of the key by exact Jaccard similarity; where some of a key's paragraphs aren't
 similar to it, all its paragraphs are joined with each other by similar_nodes(). Links are clustered by components.
-Clusters across documents keep their earliest paragraph; adjacent repeated paragraphs of a document make up a passage, and passages of MIN_WORDS
-words are reported.
+Clusters across documents keep their earliest paragraph; adjacent repeated paragraphs of a document make up a run of MIN_WORDS words or more. Cutting
+leaves the ends of a passage in paragraphs that differ, so runs under WHOLE_WORDS words are extended by the equal words that another holder of
+the run's first or last paragraph has beside it; what then has WHOLE_WORDS words is reported.
 
 Equal paragraphs are one node throughout: only counts and the smallest node of a key are gathered, never a key's members.
 """
@@ -35,8 +36,11 @@ N = 5
 THRESHOLD = 0.8
 #: Smaller: more, shorter paragraphs. With 5, simulated passages of 51 random words are missed 6 times in 1,000 (with 6, 27 times; with 8, 140).
 REACH = 5
-#: Words from which a paragraph takes part, and from which a repeated passage is reported.
+#: Words from which a paragraph takes part, and from which a run of repeated paragraphs counts.
 MIN_PARAGRAPH, MIN_WORDS = 6, 16
+#: Equal words beside a run are counted in steps of STEP; with WHOLE_WORDS no passage of 51 equal words falls short of it by the steps.
+STEP = 2
+WHOLE_WORDS = 51 - 2 * (STEP - 1)
 MAX_PARAGRAPH = 48
 #: Lines of fewer words, and runs of short lines, aren't cut into pieces under MIN_PARAGRAPH words.
 LONG = 40
@@ -88,6 +92,14 @@ def cut(w: textscan.Words, newline: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start, np.searchsorted(start, bounds)
 
 
+def _char_offsets(w: textscan.Words, i: int, text: str | None, offsets: np.ndarray) -> np.ndarray:
+    """Character offsets for byte offsets in text i of w."""
+    if not text or text.isascii():
+        return offsets
+    raw = np.frombuffer(w.raw[i], np.uint8)
+    return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
+
+
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
@@ -117,15 +129,12 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = rank - rank[by_text[:-1][text_of]]
             begin, end = w.start[start], w.end[limit[1:] - 1]
             for i in np.flatnonzero([len(r) for r in w.raw]):
-                if not texts[a + i].isascii():  # byte offsets into character offsets
-                    raw = np.frombuffer(w.raw[i], np.uint8)
-                    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                    p = slice(by_text[i], by_text[i + 1])
-                    begin[p], end[p] = chars[begin[p]], chars[end[p]]
+                p = slice(by_text[i], by_text[i + 1])
+                begin[p], end[p] = _char_offsets(w, i, texts[a + i], begin[p]), _char_offsets(w, i, texts[a + i], end[p])
             at = np.flatnonzero(use)
             who = pa.array(text_of[at] + a)
             cols = [batch.column(0).take(who), batch.column(1).take(who)]
-            cols += [pa.array(v[at].astype(np.int32)) for v in (number, begin, end, count)]
+            cols += [pa.array(v[at].astype(np.int32)) for v in (number, begin, end, start - w.bounds[text_of], count)]
             cols += [pa.array(node[at])] + [pa.array(k[at].view(np.int64)) for k in keys]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
@@ -135,10 +144,10 @@ def text_key(docs: DataFrame) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, key, number, start, end, n_words, node, b0, b1, ... of the paragraphs of docs (doc_id, text)."""
+    """doc_id, key, number, start, end, word (the first word's place), n_words, node, b0, b1, ... of the paragraphs of docs (doc_id, text)."""
     prepare_python(docs.sparkSession)
-    names = ["doc_id", "key", "number", "start", "end", "n_words", "node", *(f"b{k}" for k in range(BANDS))]
-    kinds = ["long", "long", "int", "int", "int", "int", *["long"] * (1 + BANDS)]
+    names = ["doc_id", "key", "number", "start", "end", "word", "n_words", "node", *(f"b{k}" for k in range(BANDS))]
+    kinds = ["long", "long", "int", "int", "int", "int", "int", *["long"] * (1 + BANDS)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("key"), F.col("text").cast("string"))
     return rows.mapInArrow(_paragraphs, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)
 
@@ -219,13 +228,85 @@ def _close(units: DataFrame, band: str, place: Column) -> DataFrame:
     return materialize(close.agg(F.min("key").alias("p"), F.max("key").alias("q"), F.min_by("at", "key").alias("at")), free=True)
 
 
-def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, n_words, n_paragraphs, removed, first_doc_id, clusters of passages that repeat across documents.
+def _beside(most: int):
+    """h, key, side, pos, n: a hash of the n words before (side 0, pos: start) or after (side 1, pos: end) each paragraph and of its cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, held = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
+            for a, b in textscan.in_runs(texts):
+                w = textscan.Words(texts[a:b])
+                word = np.append(w.hash, np.uint64(0))
+                count = held.slice(a, b - a).value_lengths().to_numpy()
+                spot = held.slice(a, b - a).flatten()
+                at = np.repeat(np.arange(b - a), count)
+                first = np.append(w.start, 0)
+                for i in np.flatnonzero(count):
+                    p = slice(w.bounds[i], w.bounds[i + 1])
+                    first[p] = _char_offsets(w, i, texts[a + i], w.start[p])
+                root = spot.field("root").to_numpy().view(np.uint64)
+                for side, edge in ((0, "start"), (1, "end")):
+                    use = np.flatnonzero(spot.field("after" if side else "before").to_numpy(zero_copy_only=False))
+                    pos, text = spot.field(edge).to_numpy()[use], at[use]
+                    lo, hi = w.bounds[text], w.bounds[text + 1]
+                    place = np.array([x + np.searchsorted(first[x:y], z) for x, y, z in zip(lo, hi, pos, strict=True)], dtype=np.int64)
+                    h = textscan.mix(root[use] + np.uint64(side))
+                    for n in range(1, most + 1):
+                        place = place if side else place - 1
+                        inside = (place < hi) if side else (place >= lo)
+                        h, place, lo, hi, pos, text = (x[inside] for x in (h, place, lo, hi, pos, text))
+                        h = textscan.mix(h * np.uint64(0x9E3779B97F4A7C15) + word[place])
+                        place = place + 1 if side else place
+                        if n % STEP == 0 and len(h):
+                            cols = [h.view(np.int64), keys[text + a], np.full(len(h), side, np.int8), pos.astype(np.int32), np.full(len(h), n, np.int32)]
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "key", "side", "pos", "n"])
+
+    return run
+
+
+def whole_runs(rows: DataFrame, docs: DataFrame, min_words: int, whole_words: int) -> DataFrame:
+    """key, run, shared_words of the runs of rows that have whole_words words with the equal words on either side.
+
+    Every holder of a cluster that begins or ends a shorter run gives the hashes of the words beside it; a hash that two documents have is a
+    shared extension. Each hash is counted, never paired, so a cluster of any size is aggregated before it is shuffled.
+    """
+    runs = rows.where(F.col("total") >= min_words).groupBy("key", "run").agg(
+        F.max("total").alias("total"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min_by("root", "number").alias("before"), F.max_by("root", "number").alias("after"),
+    )
+    if whole_words <= min_words:
+        return runs.select("key", "run", F.col("total").alias("shared_words"))
+    runs = materialize(runs, free=True)
+    short = runs.where(F.col("total") < whole_words)
+    ends = short.select(F.col("before").alias("root"), F.lit(True).alias("before"), F.lit(False).alias("after"))
+    ends = ends.union(short.select("after", F.lit(False), F.lit(True))).groupBy("root")
+    ends = materialize(ends.agg(F.max("before").alias("before"), F.max("after").alias("after")))
+    held = rows.select("key", "root", "start", "end").join(ends, "root").groupBy("key")
+    held = materialize(held.agg(F.collect_list(F.struct("root", "start", "end", "before", "after")).alias("held")), free=True)
+    texts = docs.select(text_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    beside = texts.join(held, "key").select("key", "text", "held").mapInArrow(_beside(whole_words - min_words), "h long, key long, side byte, pos int, n int")
+    beside = materialize(beside, free=True)
+    shared = beside.groupBy("h").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p <> q").select("h")
+    longest = beside.join(materialize(shared, free=True), "h").groupBy("key", "side", "pos").agg(F.max("n").alias("n"))
+    longest = materialize(longest, free=True)
+    left = longest.where("side = 0").select("key", F.col("pos").alias("start"), F.col("n").alias("left"))
+    right = longest.where("side = 1").select("key", F.col("pos").alias("end"), F.col("n").alias("right"))
+    wide = runs.join(left, ["key", "start"], "left").join(right, ["key", "end"], "left")
+    wide = wide.select("key", "run", (F.col("total") + F.coalesce("left", F.lit(0)) + F.coalesce("right", F.lit(0))).alias("shared_words"))
+    whole = materialize(wide.where(F.col("shared_words") >= whole_words), free=True)
+    discard(beside)
+    return whole
+
+
+def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, whole_words: int = 0) -> DataFrame:
+    """doc_id, start, end, n_words, n_paragraphs, removed, first_doc_id, clusters, shared_words of passages that repeat across documents.
 
     A passage is a run of adjacent paragraphs of a document, each in a cluster that spans two documents or more, of min_words words or more
-    in all; it is cut where removed changes, and parts of fewer words are left out beside one that has min_words. removed: the paragraphs aren't the earliest of their clusters (by doc_id, then
+    in all, and of whole_words or more with the equal words on either side (0: these aren't looked at); it is cut where removed changes, and parts of
+    fewer words than min_words are left out beside one that has them. removed: the paragraphs aren't the earliest of their clusters (by doc_id, then
     place). start and end are character offsets in the text, first_doc_id the smallest document that holds the earliest paragraphs of the
-    run's clusters, clusters the clusters' ids. Null texts have no paragraphs, null doc_ids are carried as null and come last, rows of one
+    run's clusters, clusters the clusters' ids, shared_words the words of the whole run, with the equal words on either side where it has fewer than
+    whole_words. Null texts have no paragraphs, null doc_ids are carried as null and come last, rows of one
     doc_id are one document. An empty table gives no rows.
     """
     units = materialize(paragraphs(docs))
@@ -253,8 +334,9 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     every = every.withColumn("root", F.coalesce("root", "node"))
     spans = every.groupBy("root").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p <> q").select("root")
     cluster = materialize(every.join(spans, "root").select("node", "root"))
-    rows = units.select("doc_id", "key", "number", "start", "end", "n_words", "node").join(cluster, "node").drop("node")
+    rows = units.select("doc_id", "key", "number", "start", "end", "word", "n_words", "node").join(cluster, "node").drop("node")
     rows = materialize(rows, free=True)
+    discard(units)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("number"))
     first = materialize(rows.groupBy("root").agg(F.min(order).alias("first")))
     rows = rows.join(first, "root").withColumn("removed", F.col("first") != order).withColumn("from", F.col("first.doc_id"))
@@ -263,22 +345,25 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     rows = rows.withColumn("run", F.col("number") - F.row_number().over(doc))
     whole = Window.partitionBy("key", "run")
     turn = F.coalesce((F.col("removed") != F.lag("removed").over(doc)) | (F.col("run") != F.lag("run").over(doc)), F.lit(True))
-    rows = rows.withColumn("total", F.sum("n_words").over(whole)).withColumn("part", F.sum(turn.cast("int")).over(doc))
-    rows = rows.where(F.col("total") >= min_words)
+    words = F.max(F.col("word") + F.col("n_words")) - F.min("word")
+    total = F.max(F.col("word") + F.col("n_words")).over(whole) - F.min("word").over(whole)
+    rows = rows.withColumn("total", total).withColumn("part", F.sum(turn.cast("int")).over(doc)).drop("first")
+    rows = materialize(rows, free=True)
+    rows = rows.join(whole_runs(rows, docs, min_words, whole_words), ["key", "run"])
     parts = rows.groupBy("key", "run", "part", "removed").agg(
         F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.sum("n_words").cast("long").alias("n_words"), F.count("*").alias("n_paragraphs"),
-        F.min("from").alias("first_doc_id"), F.sort_array(F.collect_set("root")).alias("clusters"),
+        words.cast("long").alias("n_words"), F.count("*").alias("n_paragraphs"), F.min("from").alias("first_doc_id"),
+        F.sort_array(F.collect_set("root")).alias("clusters"), F.max("shared_words").cast("long").alias("shared_words"),
     )
     longest = F.max("n_words").over(whole)
     return parts.withColumn("longest", longest).where((F.col("n_words") >= min_words) | (F.col("longest") < min_words)).select(
-        "doc_id", "start", "end", "n_words", "n_paragraphs", "removed", "first_doc_id", "clusters"
+        "doc_id", "start", "end", "n_words", "n_paragraphs", "removed", "first_doc_id", "clusters", "shared_words"
     )
 
 
-def remove_passages(docs: DataFrame) -> DataFrame:
-    """doc_id and text of docs without the removed passages (blanks around them stay)."""
-    spans = repeated_passages(docs).where("removed").groupBy("doc_id")
+def remove_passages(docs: DataFrame, whole_words: int = 0) -> DataFrame:
+    """doc_id and text of docs without the removed passages (blanks around them, and equal words beside their paragraphs, stay)."""
+    spans = repeated_passages(docs, whole_words=whole_words).where("removed").groupBy("doc_id")
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, "doc_id", "left")
     cut_out = F.aggregate(

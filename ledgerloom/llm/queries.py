@@ -46,7 +46,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"), whole_words=paragraphs.WHOLE_WORDS)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

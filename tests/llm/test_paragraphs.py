@@ -130,3 +130,55 @@ def test_passages_in_short_lines(spark, per):
 
     rows = [(i, "\n".join([lay(300 + i, 40), lay(800 + i // 2, 56), lay(600 + i, 40)])) for i in range(40)]
     assert len({r["doc_id"] for r in found(spark, rows)}) >= 38
+
+
+def holding(seed, passage, before=40, after=40):
+    return " ".join([prose(20_000 + seed, before), passage, prose(30_000 + seed, after)])
+
+
+def whole(spark, rows, **k):
+    return paragraphs.repeated_passages(documents(spark, rows, **k), whole_words=paragraphs.WHOLE_WORDS).collect()
+
+
+@pytest.mark.parametrize("n", [51, 60, 90])
+def test_whole_passages_are_reported(spark, n):
+    """Passages of 51 words and more are found by the equal words beside their paragraphs, at any place in the document."""
+    rows = [(i, holding(i, prose(40_000 + i // 2, n), i % 7 * 10, i % 5 * 10)) for i in range(120)]
+    got = whole(spark, rows)
+    assert len({r["doc_id"] for r in got}) >= 114
+    assert all(paragraphs.WHOLE_WORDS <= r["shared_words"] <= n + 8 for r in got)
+
+
+def test_shorter_passages_are_left_alone(spark):
+    rows = [(i, holding(i, prose(40_000 + i // 2, 36))) for i in range(60)]
+    assert len({r["doc_id"] for r in found(spark, rows)}) >= 30 and whole(spark, rows) == []
+
+
+def test_partner_inside_a_longer_run(spark):
+    """One holder of a passage has repeated text right behind it, so that its run goes on there; the other's ends with the passage."""
+    rows = []
+    for i in range(40):
+        passage, more = prose(50_000 + i, 52), prose(51_000 + i, 60)
+        rows += [(3 * i, holding(3 * i, passage)), (3 * i + 1, holding(3 * i + 1, passage + "\n" + more)), (3 * i + 2, holding(3 * i + 2, more))]
+    got = {r["doc_id"] for r in whole(spark, rows)}
+    assert all(sum(x % 3 == k for x in got) >= 37 for k in range(3))
+
+
+def test_documents_that_share_fewer_words_are_left_alone(spark):
+    """Against all windows of the small table: documents without a shared window of 44 words are hardly ever reported."""
+    holders = {}
+    for r in small(spark, "documents").collect():
+        w = words(r["text"])
+        for j in range(len(w) - 43):
+            holders.setdefault(tuple(w[j : j + 44]), set()).add(r["doc_id"])
+    share = set().union(*(v for v in holders.values() if len(v) > 1))
+    got = {r["doc_id"] for r in paragraphs.repeated_passages(small(spark, "documents"), whole_words=paragraphs.WHOLE_WORDS).collect()}
+    assert len(got - share) <= 0.02 * small(spark, "documents").count()
+
+
+def test_whole_passages_in_odd_rows(spark):
+    same = prose(7, 80)
+    rows = [(1, None), (2, ""), (3, same), (3, same), (3, None), (None, same), (4, "é İ " + prose(8, 50) + " " + same), (5, "on he " * 30_000), (6, "é " + same.upper()), (7, "a b c")]
+    got = whole(spark, rows, clash=True)
+    assert {r["doc_id"] for r in got} == {3, 4, 6, None}
+    assert whole(spark, [(1, None)]) == whole(spark, []) == []
