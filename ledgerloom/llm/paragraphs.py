@@ -228,40 +228,39 @@ def _close(units: DataFrame, band: str, place: Column) -> DataFrame:
     return materialize(close.agg(F.min("key").alias("p"), F.max("key").alias("q"), F.min_by("at", "key").alias("at")), free=True)
 
 
-def _beside(most: int):
-    """h, key, side, pos, n: a hash of the n words before (side 0, pos: start) or after (side 1, pos: end) each paragraph and of its cluster."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts, held = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
-            for a, b in textscan.in_runs(texts):
-                w = textscan.Words(texts[a:b])
-                word = np.append(w.hash, np.uint64(0))
-                count = held.slice(a, b - a).value_lengths().to_numpy()
-                spot = held.slice(a, b - a).flatten()
-                at = np.repeat(np.arange(b - a), count)
-                first = np.append(w.start, 0)
-                for i in np.flatnonzero(count):
-                    p = slice(w.bounds[i], w.bounds[i + 1])
-                    first[p] = _char_offsets(w, i, texts[a + i], w.start[p])
-                root = spot.field("root").to_numpy().view(np.uint64)
-                for side, edge in ((0, "start"), (1, "end")):
-                    use = np.flatnonzero(spot.field("after" if side else "before").to_numpy(zero_copy_only=False))
-                    pos, text = spot.field(edge).to_numpy()[use], at[use]
-                    lo, hi = w.bounds[text], w.bounds[text + 1]
-                    place = np.array([x + np.searchsorted(first[x:y], z) for x, y, z in zip(lo, hi, pos, strict=True)], dtype=np.int64)
-                    h = textscan.mix(root[use] + np.uint64(side))
-                    for n in range(1, most + 1):
-                        place = place if side else place - 1
-                        inside = (place < hi) if side else (place >= lo)
-                        h, place, lo, hi, pos, text = (x[inside] for x in (h, place, lo, hi, pos, text))
-                        h = textscan.mix(h * np.uint64(0x9E3779B97F4A7C15) + word[place])
-                        place = place + 1 if side else place
-                        if n % STEP == 0 and len(h):
-                            cols = [h.view(np.int64), keys[text + a], np.full(len(h), side, np.int8), pos.astype(np.int32), np.full(len(h), n, np.int32)]
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "key", "side", "pos", "n"])
-
-    return run
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, key, side, pos, n: a hash of the n words before (side 0, pos: start) or after (side 1, pos: end) each paragraph and of its cluster, for
+    n up to the words that its cluster needs there."""
+    for batch in batches:
+        keys, texts, held = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
+        for a, b in textscan.in_runs(texts):
+            w = textscan.Words(texts[a:b])
+            word = np.append(w.hash, np.uint64(0))
+            count = held.slice(a, b - a).value_lengths().to_numpy()
+            spot = held.slice(a, b - a).flatten()
+            at = np.repeat(np.arange(b - a), count)
+            first = np.append(w.start, 0)
+            for i in np.flatnonzero(count):
+                p = slice(w.bounds[i], w.bounds[i + 1])
+                first[p] = _char_offsets(w, i, texts[a + i], w.start[p])
+            root = spot.field("root").to_numpy().view(np.uint64)
+            for side, edge in ((0, "start"), (1, "end")):
+                need = spot.field("after" if side else "before").to_numpy()
+                use = np.flatnonzero(need)
+                need = need[use]
+                pos, text = spot.field(edge).to_numpy()[use], at[use]
+                lo, hi = w.bounds[text], w.bounds[text + 1]
+                place = np.array([x + np.searchsorted(first[x:y], z) for x, y, z in zip(lo, hi, pos, strict=True)], dtype=np.int64)
+                h = textscan.mix(root[use] + np.uint64(side))
+                for n in range(1, int(need.max(initial=0)) + 1):
+                    place = place if side else place - 1
+                    inside = (n <= need) & ((place < hi) if side else (place >= lo))
+                    h, place, lo, hi, pos, text, need = (x[inside] for x in (h, place, lo, hi, pos, text, need))
+                    h = textscan.mix(h * np.uint64(0x9E3779B97F4A7C15) + word[place])
+                    place = place + 1 if side else place
+                    if n % STEP == 0 and len(h):
+                        cols = [h.view(np.int64), keys[text + a], np.full(len(h), side, np.int8), pos.astype(np.int32), np.full(len(h), n, np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "key", "side", "pos", "n"])
 
 
 def whole_runs(rows: DataFrame, docs: DataFrame, min_words: int, whole_words: int) -> DataFrame:
@@ -278,13 +277,14 @@ def whole_runs(rows: DataFrame, docs: DataFrame, min_words: int, whole_words: in
         return runs.select("key", "run", F.col("total").alias("shared_words"))
     runs = materialize(runs, free=True)
     short = runs.where(F.col("total") < whole_words)
-    ends = short.select(F.col("before").alias("root"), F.lit(True).alias("before"), F.lit(False).alias("after"))
-    ends = ends.union(short.select("after", F.lit(False), F.lit(True))).groupBy("root")
+    need = (F.ceil((whole_words - F.col("total")) / STEP) * STEP).cast("int")
+    ends = short.select(F.col("before").alias("root"), need.alias("before"), F.lit(0).alias("after"))
+    ends = ends.union(short.select("after", F.lit(0), need)).groupBy("root")
     ends = materialize(ends.agg(F.max("before").alias("before"), F.max("after").alias("after")))
     held = rows.select("key", "root", "start", "end").join(ends, "root").groupBy("key")
     held = materialize(held.agg(F.collect_list(F.struct("root", "start", "end", "before", "after")).alias("held")), free=True)
     texts = docs.select(text_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    beside = texts.join(held, "key").select("key", "text", "held").mapInArrow(_beside(whole_words - min_words), "h long, key long, side byte, pos int, n int")
+    beside = texts.join(held, "key").select("key", "text", "held").mapInArrow(_beside, "h long, key long, side byte, pos int, n int")
     beside = materialize(beside, free=True)
     shared = beside.groupBy("h").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p <> q").select("h")
     longest = beside.join(materialize(shared, free=True), "h").groupBy("key", "side", "pos").agg(F.max("n").alias("n"))
