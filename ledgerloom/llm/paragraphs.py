@@ -152,20 +152,28 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_paragraphs, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)
 
 
+def _distinct(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes as (text, hash), in this order."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((x, text))
+    text, x = text[order], x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (x[1:] != x[:-1])
+    return text[new], x[new]
+
+
 def _jaccard(threshold: float):
     def sets(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         w = textscan.Words(texts.tolist())
-        return textscan.shingles(w.hash, w.bounds, N)
+        return _distinct(*textscan.shingles(w.hash, w.bounds, N))
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            (x, bx), (y, by) = sets(pdf["ta"]), sets(pdf["tb"])
-            ok = []
-            for i in range(len(pdf)):
-                p, q = np.unique(x[bx[i] : bx[i + 1]]), np.unique(y[by[i] : by[i + 1]])
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
-            yield pdf[["a", "b"]].assign(ok=np.array(ok, dtype=bool))
+            (i, x), (j, y) = sets(pdf["ta"]), sets(pdf["tb"])
+            each = np.append(i, j)
+            every = np.bincount(each, minlength=len(pdf))
+            union = np.bincount(_distinct(np.append(x, y)[np.argsort(each, kind="stable")], np.append(0, np.cumsum(every)))[0], minlength=len(pdf))
+            yield pdf[["a", "b"]].assign(ok=every - union >= threshold * union - 1e-9)
 
     return run
 
@@ -269,10 +277,10 @@ def whole_runs(rows: DataFrame, docs: DataFrame, min_words: int, whole_words: in
     Every holder of a cluster that begins or ends a shorter run gives the hashes of the words beside it; a hash that two documents have is a
     shared extension. Each hash is counted, never paired, so a cluster of any size is aggregated before it is shuffled.
     """
-    runs = rows.where(F.col("total") >= min_words).groupBy("key", "run").agg(
-        F.max("total").alias("total"), F.min("start").alias("start"), F.max("end").alias("end"),
+    runs = rows.groupBy("key", "run").agg(
+        (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("total"), F.min("start").alias("start"), F.max("end").alias("end"),
         F.min_by("root", "number").alias("before"), F.max_by("root", "number").alias("after"),
-    )
+    ).where(F.col("total") >= min_words)
     if whole_words <= min_words:
         return runs.select("key", "run", F.col("total").alias("shared_words"))
     runs = materialize(runs, free=True)
@@ -339,15 +347,14 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     discard(units)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("number"))
     first = materialize(rows.groupBy("root").agg(F.min(order).alias("first")))
-    rows = rows.join(first, "root").withColumn("removed", F.col("first") != order).withColumn("from", F.col("first.doc_id"))
+    rows = rows.join(first, "root").withColumn("removed", F.col("first") != order).withColumn("from", F.col("first.doc_id")).drop("first")
     rows = rows.dropDuplicates(["key", "number", "start"])
     doc = Window.partitionBy("key").orderBy("number")
     rows = rows.withColumn("run", F.col("number") - F.row_number().over(doc))
     whole = Window.partitionBy("key", "run")
     turn = F.coalesce((F.col("removed") != F.lag("removed").over(doc)) | (F.col("run") != F.lag("run").over(doc)), F.lit(True))
     words = F.max(F.col("word") + F.col("n_words")) - F.min("word")
-    total = F.max(F.col("word") + F.col("n_words")).over(whole) - F.min("word").over(whole)
-    rows = rows.withColumn("total", total).withColumn("part", F.sum(turn.cast("int")).over(doc)).drop("first")
+    rows = rows.withColumn("part", F.sum(turn.cast("int")).over(doc))
     rows = materialize(rows, free=True)
     rows = rows.join(whole_runs(rows, docs, min_words, whole_words), ["key", "run"])
     parts = rows.groupBy("key", "run", "part", "removed").agg(
