@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,19 @@ def test_whole_passages_in_odd_rows(spark):
     got = whole(spark, rows, clash=True)
     assert {r["doc_id"] for r in got} == {3, 4, 6, None}
     assert whole(spark, [(1, None)]) == whole(spark, []) == []
+
+
+def test_pairs_of_a_batch_against_sets():
+    """Empty texts, short ones, repeated shingles and near copies, at two thresholds."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 14))) for _ in range(300)]
+    other = [t if i % 3 == 0 else t.replace("w1", "w9", 1) if i % 3 == 1 else texts[i - 1] for i, t in enumerate(texts)]
+    pdf = pd.DataFrame({"a": range(300), "b": range(300), "ta": texts, "tb": other})
+
+    def sets(text):
+        return set(textscan.shingles((w := textscan.Words([text])).hash, w.bounds, paragraphs.N)[0].tolist())
+
+    for threshold in (0.3, 0.8):
+        got = next(paragraphs._jaccard(threshold)(iter([pdf])))["ok"].tolist()
+        both = [(sets(x), sets(y)) for x, y in zip(texts, other, strict=True)]
+        assert got == [len(x & y) >= threshold * len(x | y) - 1e-9 for x, y in both]
